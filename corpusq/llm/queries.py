@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..runtime import Query, table
 from .cooccur import co_occurrences
+from .leak import leaked_items
+from .lines import repeated_lines, without_repeated_lines
+from .mix import Mixture
 from .neardup import NearDuplicates
 from .split import split_oversized
 
@@ -23,6 +26,14 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_oversized(table(spark, d, "chunks"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return repeated_lines(_text_chunks(spark, d)).select("chunk_id", "line_no").distinct()
+
+
+def p3_clean(spark: SparkSession, d: str) -> DataFrame:
+    return without_repeated_lines(_text_chunks(spark, d))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return NearDuplicates(_text_chunks(spark, d)).chunk_pairs()
 
@@ -36,5 +47,17 @@ def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumns({"lift": F.round("lift", 6), "llr": F.round("llr", 4)})
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_pieces, p4_found, p5_found, p5_pairs)}
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_items(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets")).plan
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets")).shares
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_clean, p4_found, p5_found, p5_pairs, p6_found, p7_mix, p7_shares)}
 SQL: dict[str, str] = {}
