@@ -215,7 +215,7 @@ def _spelled(words: dict[str, Counter]) -> dict[str, np.ndarray]:
 class LanguageModel:
     """Fitted on (text, language) rows of which most labels are right."""
 
-    def __init__(self, labelled: list[tuple[str, str]], vocabulary: str = VOCABULARY, relabelled: int = 3, rounds: int = 2):
+    def __init__(self, labelled: list[tuple[str, str]], vocabulary: str = VOCABULARY, relabelled: int = 2, rounds: int = 2):
         pieces = load_pieces(vocabulary)
         sents = [([w for w in words_of(t[b:e])], lang) for t, lang in labelled for b, e in sentences(t)]
         sents = [(ws, lang) for ws, lang in sents if ws]
@@ -229,7 +229,7 @@ class LanguageModel:
                     if lang is None:
                         continue
                 words[lang].update(ws if k or lang not in ROMAN else [w for w in ws if _CYRILLIC.search(w)])
-            self.model.fit(_spelled(words), rounds)
+            self.model.fit(_spelled(words), rounds if k == 0 else 1)
             self.model.logs = {}
         # classes without any training word can't win
         self.known = self.model.p.max(axis=0) > 1.5 / max(1, len(self.model.p))
@@ -359,7 +359,7 @@ class Languages:
     letters; repeated rows count once in ``mislabelled`` and ``documents``.
     """
 
-    def __init__(self, documents: DataFrame, per_label: int = 250, vocabulary: str = VOCABULARY):
+    def __init__(self, documents: DataFrame, per_label: int = 200, vocabulary: str = VOCABULARY):
         spark = documents.sparkSession
         ship(spark)
         rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang").filter("doc_id is not null and text is not null")

@@ -132,7 +132,7 @@ def _match(batches: Iterator[pa.RecordBatch], sent: dict[str, list[tuple[str, in
 
 
 def repeated_lines(
-    chunks: DataFrame, min_chunks: int = 5, min_share: float = 0.1, core: float = 0.125, fuzzy_from: int = 20, edits: int = 2
+    chunks: DataFrame, min_chunks: int = 5, min_share: float = 0.1, core: float = 0.125, fuzzy_from: int = 20, edits: int = 2, least_letters: int = 1
 ) -> DataFrame:
     """source_file, chunk_id, line_no, template: each line whose template is in at least ``min_chunks``
     chunks and ``min_share`` of all chunks of its source.
@@ -153,7 +153,7 @@ def repeated_lines(
     cores = stage(
         counted.groupBy("source_file", "line")
         .agg(F.sum("c").alias("c"))
-        .filter("c > 1")
+        .filter((F.col("c") > 1) & (F.length("line") >= least_letters))
         .join(sizes, "source_file")
         .filter(F.col("c") >= F.lit(core) * F.col("need"))
         .select("source_file", "line", "c"),

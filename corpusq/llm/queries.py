@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import Query, table
+from ..runtime import Query, stage, table
 from .cooccur import co_occurrences
+from .langid import Languages
 from .leak import leaked_items
 from .lines import repeated_lines, without_repeated_lines
 from .mix import Mixture
 from .neardup import NearDuplicates
+from .scan_noise import found, repair_scans
 from .split import split_oversized
 
 
@@ -18,6 +20,15 @@ def _text_chunks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "chunks").filter("type = 'text'")
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    # both kinds come from one pass over the pages
+    return found(stage(repair_scans(table(spark, d, "chunks")).select("chunk_id", "lines", "words"), "p1-repaired"))
+
+
+def p1_repair(spark: SparkSession, d: str) -> DataFrame:
+    return repair_scans(table(spark, d, "chunks"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return split_oversized(table(spark, d, "chunks")).select("chunk_id").distinct()
 
@@ -59,5 +70,17 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets")).shares
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_clean, p4_found, p5_found, p5_pairs, p6_found, p7_mix, p7_shares)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return Languages(table(spark, d, "documents")).mislabelled()
+
+
+def p8_segments(spark: SparkSession, d: str) -> DataFrame:
+    return Languages(table(spark, d, "documents")).segments
+
+
+def p8_documents(spark: SparkSession, d: str) -> DataFrame:
+    return Languages(table(spark, d, "documents")).documents()
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_repair, p2_found, p2_pieces, p3_found, p3_clean, p4_found, p5_found, p5_pairs, p6_found, p7_mix, p7_shares, p8_found, p8_segments, p8_documents)}
 SQL: dict[str, str] = {}
