@@ -10,7 +10,7 @@ neither losing a pair:
    point of A alone spoils two boxes of A, a point of B alone one. So at least 3 * overlap - |A| - |B|
    >= (3t/(1+t) - 1) * (|A| + |B|) chains of two consecutive shingles occur in both with no difference
    at all. Of each text only its rarest boxes, all but that number, need to be looked up (plus
-   ``matches`` - 1, if so many common boxes are asked for).
+   ``matches``, if so many common boxes are asked for).
 2. Pruning. The ring is also cut into 16 segments of equal arc, each with a 16-bit parity code of its
    points, whose bit distance is a lower bound of the segment's differences. A pair lives only if from
    some segment on, round the ring, each chain of l segments stays within l/16 of the budget.
@@ -30,13 +30,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import bounded_rows, ship, stage
-from .split import word_count
+from ..runtime import ship, stage
+from .split import has_words
 
 TOKEN = re.compile("[а-яёa-z0-9]+")
 SEGMENTS, BITS = 16, 16
 #: A shingle in at least this share of the texts of some partition counts as common (for the order of boxes only).
-COMMON = 0.002
+COMMON = 0.0003
+#: At most so many common shingles are sent to every task (12 bytes each).
+COMMON_ROWS = 1_000_000
 #: A run of one box longer than this is left to Spark's skew-handling join.
 LONG_RUN = 2048
 #: A list of candidate texts up to this long (16 bytes each) may be broadcast.
@@ -88,10 +90,13 @@ def chain_survives(code_a: np.ndarray, code_b: np.ndarray, budget: np.ndarray) -
     return alive.any(axis=1)
 
 
-def _signatures(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+def _signatures(batches: Iterator[pa.RecordBatch], size: int, min_words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
+            texts = part.column(1).to_pylist()
+            enough = pa.array([has_words(t, min_words) for t in texts], pa.bool_())
+            part = part.filter(enough)
             sets = shingle_arrays(part.column(1).to_pylist(), size)
             flat = np.concatenate(sets) if sets else np.empty(0, np.uint32)
             offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
@@ -264,16 +269,14 @@ class NearDuplicates:
         spark = chunks.sparkSession
         ship(spark)
         # fewer common boxes than asked for can't be asked for: small sets get what they surely have
-        texts = chunks.select("chunk_id", "text").filter(
-            F.col("chunk_id").isNotNull() & F.col("text").isNotNull() & (word_count(F.col("text")) >= min_words)
-        )
+        texts = chunks.select("chunk_id", "text").filter(F.col("chunk_id").isNotNull() & F.col("text").isNotNull())
         sig = stage(
-            texts.mapInArrow(lambda it: _signatures(it, size), "chunk_id string, fp bigint, n int, points array<int>, code binary").filter("n > 0"),
+            texts.mapInArrow(lambda it: _signatures(it, size, min_words), "chunk_id string, fp bigint, n int, points array<int>, code binary").filter("n > 0"),
             "p4-signatures",
         )
         self.members = sig.select("chunk_id", "fp").distinct()
-        common, counts = self._common(sig)
-        boxes = sig.select("fp", "n", "points").mapInArrow(lambda it: _boxes(it, common, counts, t, matches), "key bigint, fp bigint")
+        held = spark.sparkContext.broadcast(self._common(sig))
+        boxes = sig.select("fp", "n", "points").mapInArrow(lambda it: _boxes(it, *held.value, t, matches), "key bigint, fp bigint")
         runs = stage(boxes.repartition("key").sortWithinPartitions("key").mapInArrow(_runs, "a bigint, b bigint, key bigint"), "p4-runs")
         long = runs.filter("b is null").select("key", "a").distinct()
         found = runs.filter("b is not null").select("a", "b").unionByName(
@@ -304,9 +307,12 @@ class NearDuplicates:
         """Shingles that may be common, with counts; their number is bounded, so it may go to the driver."""
         local = sig.select("points").mapInArrow(_locally_common, "p bigint, c bigint, rows bigint")
         total = sig.count()
-        rows = bounded_rows(local.groupBy("p").agg(F.sum("c").alias("c")).filter(F.col("c") >= COMMON / 2 * total), 2_000_000) or []
-        rows.sort()
-        return np.array([r[0] for r in rows], np.int32), np.array([r[1] for r in rows], np.int64)
+        # at most 2 * (mean shingles a text) / COMMON rows; beyond the limit the rarest are left out, which only costs speed
+        kept = local.groupBy("p").agg(F.sum("c").alias("c")).filter(F.col("c") >= COMMON / 2 * total)
+        got = kept.orderBy(F.desc("c"), "p").limit(COMMON_ROWS).toArrow()
+        p, c = got.column(0).to_numpy().astype(np.int32), got.column(1).to_numpy()
+        order = np.argsort(p)
+        return p[order], c[order]
 
     def chunk_pairs(self) -> DataFrame:
         """chunk_a < chunk_b: all pairs of different chunks, those of equal shingle sets among them."""

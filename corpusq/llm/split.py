@@ -29,6 +29,13 @@ def word_count(col: Column) -> Column:
     return F.regexp_count(col, F.lit(f"[^{SPACE}]+"))
 
 
+def has_words(text: str, least: int) -> bool:
+    """Has the text so many words? Not all are counted."""
+    if len(text) < 2 * least - 1:
+        return False
+    return len(text.split(None, least)) >= least if text.isascii() or "\x1c" not in text else sum(1 for _ in _WORD.finditer(text)) >= least
+
+
 def boundary_strengths(text: str, spans: list[tuple[int, int]]) -> list[float]:
     """Strength of the boundary after each word: paragraph, sentence, line, clause, comma, none."""
     out = []
@@ -140,7 +147,7 @@ def split_oversized(chunks: DataFrame, limit: int = 400, overlap: int = 50) -> D
     ship(chunks.sparkSession)
     big = (
         chunks.select("chunk_id", "text")
-        .filter(F.col("chunk_id").isNotNull() & (F.length("text") > limit) & (word_count(F.col("text")) > limit))
+        .filter(F.col("chunk_id").isNotNull() & (F.length("text") > 2 * limit) & (word_count(F.col("text")) > limit))
         .dropDuplicates(["chunk_id", "text"])
     )
     return big.mapInPandas(lambda it: _pieces(it, limit, overlap), PIECES)
