@@ -115,18 +115,15 @@ def expand_abbreviations(text: Column, as_written: bool = False) -> Column:
     """
     order = list(ABBREVIATIONS) if as_written else sorted(ABBREVIATIONS, key=lambda a: (-len(a), list(ABBREVIATIONS).index(a)))
     beside = "А-ЯЁA-Zа-яёa-z" if as_written else "А-ЯЁA-Zа-яёa-z0-9"
-    out = text
-    for a in order:
-        at = F.regexp_instr(out, F.lit(f"(?<![{beside}]){a}(?![{beside}])"))
-        out = F.reduce(
-            F.array(F.struct(out.alias("s"), at.alias("at"))),
-            F.lit(""),
-            lambda _, x, a=a: F.when(
-                x["at"] > 0,
-                F.concat(F.substr(x["s"], F.lit(1), x["at"] - 1), F.lit(f"{a} ({ABBREVIATIONS[a]})"), F.substr(x["s"], x["at"] + len(a))),
-            ).otherwise(x["s"]),
-        )
-    return out
+    entries = F.array(
+        *(F.struct(F.lit(f"(?<![{beside}]){a}(?![{beside}])").alias("p"), F.lit(f"{a} ({ABBREVIATIONS[a]})").alias("full"), F.lit(len(a)).alias("n")) for a in order)
+    )
+
+    def step(s: Column, e: Column) -> Column:
+        at = F.regexp_instr(s, e["p"])
+        return F.when(at > 0, F.concat(F.substr(s, F.lit(1), at - 1), e["full"], F.substr(s, at + e["n"]))).otherwise(s)
+
+    return F.reduce(entries, text, step)
 
 
 def ocr_sections(raw: Column) -> Column:
