@@ -83,4 +83,20 @@ def p8_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_repair, p2_found, p2_pieces, p3_found, p3_clean, p4_found, p5_found, p5_pairs, p6_found, p7_mix, p7_shares, p8_found, p8_segments, p8_documents)}
-SQL: dict[str, str] = {}
+_SPACE = "\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+_ITEMS = f"""i AS (SELECT DISTINCT source_file, page, trim(type) || ':' || n AS item FROM (SELECT *, regexp_replace(regexp_replace(translate(regexp_replace(upper(name), '[\\x{{2010}}-\\x{{2015}}\\x{{2212}}\\x{{ad}}\\x{{fe58}}\\x{{fe63}}\\x{{ff0d}}]', '-', 'g'), 'ABEKMHOPCTXY', 'АВЕКМНОРСТХУ'), '^[{_SPACE}]+', ''), '[{_SPACE}\\pP\\pS]+$', '') AS n FROM entities) WHERE source_file IS NOT NULL AND page IS NOT NULL AND n <> ''),
+t AS (SELECT count(DISTINCT (source_file, page)) AS n FROM i), f AS (SELECT item, count(*) AS pages FROM i GROUP BY 1),
+pr AS (SELECT a.item AS item_a, b.item AS item_b, count(*) AS shared FROM i a JOIN i b USING (source_file, page) WHERE a.item < b.item GROUP BY ALL),
+pc AS (SELECT item_a, item_b, shared, fa.pages AS pages_a, fb.pages AS pages_b, t.n AS pages FROM pr JOIN f fa ON fa.item = item_a JOIN f fb ON fb.item = item_b, t)"""
+_X = "CASE WHEN {0} > 0 THEN {0} * ln(({0})::DOUBLE) ELSE 0 END"
+_LLR = "2 * (" + " + ".join(_X.format(f"({c})") for c in ("shared", "pages_a - shared", "pages_b - shared", "pages - pages_a - pages_b + shared", "pages")) + " - " + " - ".join(_X.format(f"({c})") for c in ("pages_a", "pages - pages_a", "pages_b", "pages - pages_b")) + ")"
+
+SQL: dict[str, str] = {
+    "p2_found": f"SELECT DISTINCT chunk_id FROM chunks WHERE len(regexp_extract_all(text, '[^{_SPACE}]+')) > 400",
+    "p4_found": f"""WITH c AS (SELECT DISTINCT chunk_id, regexp_extract_all(lower(text), '[а-яёa-z0-9]+') AS t FROM chunks WHERE type = 'text' AND len(regexp_extract_all(text, '[^{_SPACE}]+')) >= 20),
+s AS (SELECT DISTINCT chunk_id, hash(t[k] || ' ' || t[k + 1] || ' ' || t[k + 2]) AS h FROM (SELECT chunk_id, t, unnest(range(1, len(t) - 1)) AS k FROM c)), n AS (SELECT chunk_id, count(*) AS n FROM s GROUP BY 1),
+o AS (SELECT a.chunk_id AS chunk_a, b.chunk_id AS chunk_b, count(*) AS o FROM s a JOIN s b USING (h) WHERE a.chunk_id < b.chunk_id GROUP BY ALL)
+SELECT chunk_a, chunk_b FROM o JOIN n x ON x.chunk_id = chunk_a JOIN n y ON y.chunk_id = chunk_b WHERE o >= 0.7 * (x.n + y.n - o)""",
+    "p5_found": f"WITH {_ITEMS} SELECT item_a, item_b FROM pc WHERE shared >= 5 AND shared >= 0.003::DOUBLE * pages AND shared * pages >= 3.0 * pages_a * pages_b",
+    "p5_pairs": f"WITH {_ITEMS} SELECT item_a, item_b, shared, pages_a, pages_b, pages, round(shared * pages / (pages_a * pages_b)::DOUBLE, 6) AS lift, round({_LLR}, 4) AS llr FROM pc WHERE shared >= 2",
+}
