@@ -91,6 +91,7 @@ class Channel:
                 self.first_parts[w.split("-")[0]] += c
         self.op = dict.fromkeys(((a, b) for a, bs in CONFUSIONS.items() for b in bs), 3e-4)
         self.memo: dict[str, list[tuple[str, float]]] = {}
+        self.joins: dict[tuple[str, str, bool], str | None] = {}
         self._estimate()
 
     def _estimate(self) -> None:
@@ -197,19 +198,31 @@ class Channel:
 
     def join(self, x: str, y: str, marked: bool) -> str | None:
         """The word that two halves at a line's end and beginning make, or None if they are two words."""
-        whole, kept = self.known(x + y), self.known(x + "-" + y)
+        got = self.joins.get((x, y, marked), False)
+        if got is False:
+            got = self._join(x, y, marked)
+            if len(self.joins) < 300_000:
+                self.joins[x, y, marked] = got
+        return got
+
+    def _join(self, x: str, y: str, marked: bool) -> str | None:
+        whole, kept = x + y, x + "-" + y
+        c, ck = self.words.get(whole, 0), self.words.get(kept, 0)
         if marked:
-            if whole is None and kept is None:
-                if self.known(x) and self.known(y):
-                    return None
-                if x in self.first_parts and self.first_parts[x] > 2:
-                    return self.readings(x + "-" + y)[0][0]
-                return self.readings(x + y)[0][0]
-            return max((r for r in (whole, kept) if r), key=lambda r: r[1])[0]
-        if whole is None or _DIG.search(y) or len(x + y) < 5:
+            if c or ck:
+                return self.readings(whole if c >= ck else kept)[0][0]
+            if self.known(x) and self.known(y):
+                return None
+            found = [r for r in (self.known(whole), self.known(kept)) if r]
+            if found:
+                return max(found, key=lambda r: r[1])[0]
+            return self.readings(kept if self.first_parts.get(x, 0) > 2 else whole)[0][0]
+        if _DIG.search(y) or len(whole) < 5 or (not c and x in self.words and y in self.words):
+            return None
+        read = self.known(whole)
+        if read is None:
             return None
-        apart = self.prior(None, x) + self.prior(x, y)
-        return whole[0] if whole[1] + math.log(UNMARKED) > apart else None
+        return read[0] if read[1] + math.log(UNMARKED) > self.prior(None, x) + self.prior(x, y) else None
 
 
 def _cased(new: str, old: str) -> str:
@@ -223,9 +236,18 @@ def reportable(w: str) -> bool:
     return not _DIG.search(w) and sum(ch.isalpha() for ch in w) >= 6
 
 
+def plain_lower(line: str) -> str:
+    """Lower case with plain hyphens, letter by letter where case changes the length."""
+    low = line.lower()
+    if len(low) != len(line):
+        low = "".join(x if len(x) == 1 else c for c, x in ((c, c.lower()) for c in line))
+    return low.replace("‐", "-").replace("‑", "-")
+
+
 def repair(text: str, page: int | None, furniture: set[int], ch: Channel) -> tuple[str, list[int], list[str]]:
     """The text in paragraphs, the numbers of the lines left out, and the words put right."""
     raw = text.split("\n")
+    lows = [plain_lower(x) for x in raw]
     full = [i for i, x in enumerate(raw) if x.strip()]
     edges = {*full[:3], *full[-3:]}
     out_lines = [i for i in full if i + 1 in furniture or is_page_number(raw[i], page, i in edges)]
@@ -238,12 +260,14 @@ def repair(text: str, page: int | None, furniture: set[int], ch: Channel) -> tup
         line, nxt = raw[a], _BEGIN.match(raw[b])
         if not nxt:
             continue
-        m = _MARK.search(line)
+        end = len(line.rstrip())
+        begin = next((k + 1 for k in range(end - 1, -1, -1) if line[k].isspace()), 0)
+        m = _MARK.search(line, begin)
         marked = m is not None
-        m = m or _OPEN_END.search(line)
+        m = m or _OPEN_END.search(line, begin)
         if not m or (not marked and not nxt[1][:1].islower()) or m.start(1) < skip.get(a, 0):
             continue
-        x, y = (s.lower().replace("‐", "-").replace("‑", "-") for s in (m[1], nxt[1]))
+        x, y = lows[a][m.start(1) : m.end(1)], lows[b][nxt.start(1) : nxt.end(1)]
         if marked and 2 * len(_DIG.findall(y)) >= len(y) or (not marked and (x in ch.words and y in ch.words and (x, y) in ch.pairs)):
             continue
         whole = ch.join(x, y, marked)
@@ -260,19 +284,24 @@ def repair(text: str, page: int | None, furniture: set[int], ch: Channel) -> tup
             paragraphs.append([])
         last = i
         lo, hi = skip.get(i, 0), joined[i][0] if i in joined else len(line)
-        spots = [m for m in _TOKEN.finditer(line, lo, max(lo, hi))]
-        words = [m[0].lower().replace("‐", "-").replace("‑", "-") for m in spots]
-        parts, at = [], lo
-        for m, w, v in zip(spots, words, ch.decode(words) if words else []):
-            parts.append(line[at : m.start()])
-            parts.append(_cased(v, m[0]) if v != w else m[0])
-            at = m.end()
-            if v != w and reportable(v):
-                wrong[v] = None
-        parts.append(line[at:hi])
+        spots = list(_TOKEN.finditer(lows[i], lo, max(lo, hi)))
+        words = [m[0] for m in spots]
+        read = ch.decode(words) if words else []
+        if read == words:
+            piece = line[lo:hi]
+        else:
+            parts, at = [], lo
+            for m, w, v in zip(spots, words, read):
+                if v != w:
+                    parts.append(line[at : m.start()])
+                    parts.append(_cased(v, line[m.start() : m.end()]))
+                    at = m.end()
+                    if reportable(v):
+                        wrong[v] = None
+            piece = "".join(parts) + line[at:hi]
         if i in joined:
-            parts.append(_cased(joined[i][1], line[joined[i][0] :]))
-        paragraphs[-1].append(" ".join("".join(parts).split()))
+            piece += _cased(joined[i][1], line[joined[i][0] :])
+        paragraphs[-1].append(" ".join(piece.split()))
     good = [" ".join(x for x in p if x) for p in paragraphs]
     # what follows a joined word without a space is its punctuation
     good = [re.sub(r" ([.,;:!?»)])", r"\1", g) for g in good if g]
