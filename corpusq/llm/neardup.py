@@ -41,6 +41,10 @@ COMMON = 0.0003
 COMMON_ROWS = 1_000_000
 #: A run of one box longer than this is left to Spark's skew-handling join.
 LONG_RUN = 2048
+#: A pair is looked at if it shares so many boxes (a hash collision may spoil up to three of ``matches``).
+ASKED = 3
+#: Below so many shingles two similar texts may share fewer boxes than ``matches``.
+SMALL = 18
 #: A list of candidate texts up to this long (16 bytes each) may be broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -166,6 +170,9 @@ def _boxes(batches: Iterator[pa.RecordBatch], common: np.ndarray, counts: np.nda
             send = min(n, n - common_boxes + matches)
             if send < n:
                 key = key[np.lexsort((key, order))[:send]]
+            if n < SMALL:  # such a pair may share a single box only: each counts as many as are asked for
+                with np.errstate(over="ignore"):
+                    key = np.concatenate([key + np.int64(j * 0x632BE59BD9B4E019) for j in range(ASKED)])
             keys.append(key)
             owners.append(np.full(len(key), fp, np.int64))
         if keys:
@@ -268,7 +275,8 @@ class NearDuplicates:
     def __init__(self, chunks: DataFrame, t: float = 0.7, size: int = 3, min_words: int = 20, matches: int = 6):
         spark = chunks.sparkSession
         ship(spark)
-        # fewer common boxes than asked for can't be asked for: small sets get what they surely have
+        if matches < ASKED + 3:
+            raise ValueError(f"matches must be at least {ASKED + 3}")
         texts = chunks.select("chunk_id", "text").filter(F.col("chunk_id").isNotNull() & F.col("text").isNotNull())
         sig = stage(
             texts.mapInArrow(lambda it: _signatures(it, size, min_words), "chunk_id string, fp bigint, n int, points array<int>, code binary").filter("n > 0"),
@@ -283,11 +291,10 @@ class NearDuplicates:
             long.alias("x").join(long.select("key", F.col("a").alias("b")).alias("y"), "key").filter("a < b").select("a", "b")
         )
         light = sig.groupBy("fp").agg(F.first("n").alias("n"), F.first("code").alias("code"), F.min("chunk_id").alias("one"))
-        counted = found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
+        counted = found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common")).filter(F.col("common") >= ASKED)
         la = light.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("code").alias("ca"))
         lb = light.select(F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("code").alias("cb"))
-        least = F.least(F.lit(matches - 3), F.ceil(F.least("na", "nb") * F.lit((3 * t / (1 + t) - 1) * 2)) - 3)
-        pruned = counted.join(la, "a").join(lb, "b").filter(F.col("common") >= least)
+        pruned = counted.join(la, "a").join(lb, "b")
         alive = stage(
             pruned.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(lambda it: _chains(it, t), "a bigint, b bigint"),
             "p4-candidates",
