@@ -81,15 +81,18 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, block: int = 200
     one matrix product and keeps its k best a query, so at most k rows a query leave a batch. Scores have
     4 places; ties by chunk_id. Zero or null vectors never match.
     """
-    rows = queries.filter("q is not null").select("query_id", "q").collect()
+    asked = queries.filter("q is not null and query_id is not null").select("query_id", "q")
     id_type = dict(vectors.dtypes)["chunk_id"]
     q_type = dict(queries.dtypes)["query_id"]
     schema = f"query_id {q_type}, chunk_id {id_type}, score double"
-    out = None
-    for at in range(0, max(1, len(rows)), block):
-        part = rows[at : at + block]
+    out, last = None, None
+    while True:  # the driver holds one block of queries at a time; query_id must be unique
+        part = (asked if last is None else asked.filter(F.col("query_id") > last)).orderBy("query_id").limit(block).collect()
+        if not part and out is not None:
+            break
+        last = part[-1][0] if part else None
         ids = np.array([r[0] for r in part], dtype=object)
-        m = np.array([r[1] for r in part], dtype=np.float64).reshape(len(part), -1)
+        m = np.array([r[1] for r in part], dtype=np.float64).reshape(len(part), -1) if part else np.zeros((0, 1))
         norm = np.linalg.norm(m, axis=1, keepdims=True)
         m = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
         held = vectors.sparkSession.sparkContext.broadcast((ids, m))
@@ -115,4 +118,6 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, block: int = 200
 
         got = vectors.filter("v is not null").select("chunk_id", "v").mapInPandas(best, schema)
         out = got if out is None else out.unionByName(got)
+        if len(part) < block:
+            break
     return ranked(out.withColumn("score", F.round("score", 4)), k)
