@@ -8,32 +8,37 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
+from ..runtime import stage
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
 @dataclass
 class LexicalIndex:
-    """postings(term, chunk_id, tf), lengths(chunk_id, dl), terms(term, df, idf), corpus(n, avgdl): one row."""
+    """postings(term, chunk_id, tf, dl), terms(term, df, idf), corpus(n, avgdl): one row. dl, the chunk's length,
+    stands in each posting, so that a search needs no join by chunk."""
 
     postings: DataFrame
-    lengths: DataFrame
     terms: DataFrame
     corpus: DataFrame
 
 
 def build(chunks: DataFrame, id_col: str = "chunk_id", text: str = "text") -> LexicalIndex:
-    """The index of chunks with unique ids. Negative idf becomes EPSILON times the vocabulary's mean idf."""
+    """The index of chunks with unique ids. Negative idf becomes EPSILON times the vocabulary's mean idf.
+
+    The postings are written once, as terms and every search read them.
+    """
     tokens = chunks.select(F.col(id_col).alias("chunk_id"), tokenize(F.col(text)).alias("t"))
     lengths = tokens.select("chunk_id", F.size("t").alias("dl"))
-    postings = tokens.select("chunk_id", F.explode("t").alias("term")).groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
+    each = tokens.select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    postings = stage(each.groupBy("term", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf")), "postings")
     corpus = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # corpus and mean are single rows
     raw = df.join(F.broadcast(corpus)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
     terms = raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
-    return LexicalIndex(postings, lengths, terms, corpus)
+    return LexicalIndex(postings, terms, corpus)
 
 
 def search(index: LexicalIndex, queries: DataFrame, k: int, where: DataFrame | None = None) -> DataFrame:
@@ -43,11 +48,11 @@ def search(index: LexicalIndex, queries: DataFrame, k: int, where: DataFrame | N
     applied before the ranking, while idf stays that of the whole corpus.
     """
     q = queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    # idf by term, then the postings: both joins are on the term, so they share one exchange of the postings
+    # idf first: what meets the postings is no larger than the queries
     hits = q.join(index.terms, "term").join(index.postings, "term")
     if where is not None:
         hits = hits.join(where, "chunk_id", "left_semi")
-    scored = hits.join(index.lengths, "chunk_id").join(F.broadcast(index.corpus))
+    scored = hits.join(F.broadcast(index.corpus))  # a single row
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     total = scored.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 4).alias("score")).filter("score > 0")
     return ranked(total, k)
