@@ -3,8 +3,9 @@
 A line is its letters in lower case; digits, punctuation and spaces are wildcard slots. Each task
 counts the lines of its rows by source; the counts are merged by key; what is frequent enough to be
 the core of a repeated line becomes a template in its source's token tree. The tree has a fixed depth:
-length, then three block tokens of which two are wildcards, so that a line with up to two letters
-changed, lost or added still meets its template on one of the paths.
+the place of a block (first, middle, last), then the block's letters, the other two blocks being
+wildcards, so that a line with up to two letters changed, lost or added still meets its template on
+one of the paths.
 """
 
 from __future__ import annotations
