@@ -1,12 +1,12 @@
 """Problem 6: evaluation texts leaking into training text.
 
-Items and documents are sequences of folded words. Windows of the length of the shortest passage that
-counts (12 words) slide over both. Each window is put through the CGK random walk, which turns edit
-distance into Hamming distance: the walk copies its current word and moves on or stays by a random
-bit of (step, word), so windows that differ by insertions or losses fall into step again. Bit-sampling
-LSH looks at a few places of the walk; this is repeated with other walks and samples until a window
-pair within the aimed-at distance meets with the target recall. A document meets an item if any window
-pair does; what meets is verified exactly.
+Items and documents are sequences of folded words. What counts is (a) a run of words of an item, found by
+the hashes of all its windows of that length, or (b) a share of an item's words in order within a stretch.
+For (b) a document is cut into overlapping pieces of twice the longest stretch, so that each stretch lies
+whole in one of them. A piece can hold a passage only if it has enough of the item's words: of the rarest
+``n - need + t`` words of an item of n words at least t must be there, as at most ``n - need`` are missing.
+Pieces and items meet by that count in an inverted index, then words are counted in a sliding stretch, then
+the longest common subsequence decides. Each step is a necessary condition of the next: no passage is lost.
 """
 
 from __future__ import annotations
@@ -48,113 +48,145 @@ def folded_words(text: str) -> list[str]:
     return [w for x in raw_words(text) if (w := fold(x))]
 
 
-def cgk_plan(window: int, samples: int, repeats: int, seed: int = 42) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per repeat: random bits (walk step x word class of 64) and the sampled places of the walk."""
-    rng = np.random.default_rng(seed)
-    plan = []
-    for _ in range(repeats):
-        bits = rng.integers(0, 2, (3 * window, 64)).astype(np.int64)
-        # one place in each equal part of the walk, so that a key never rests on one or two words
-        edges = np.linspace(0, 3 * window // 2, samples + 1).astype(int)
-        plan.append((bits, np.array([rng.integers(a, b) for a, b in zip(edges, edges[1:])])))
-    return plan
-
-
-def repeats_for(recall: float, window: int, samples: int, edits: int, disjoint: int = 2) -> int:
-    """Repeats for the recall of a passage of ``disjoint`` windows, each with ``edits`` edits. After an edit
-    the walk differs for about three steps before it falls into step again, with 1.5 steps to a word."""
-    differing = min(0.95, edits * 3 / (1.5 * window))
-    meet = (1 - differing) ** samples
-    return max(1, math.ceil(math.log(1 - recall) / disjoint / math.log(1 - meet)))
-
-
-def cgk_keys(words: np.ndarray, starts: np.ndarray, window: int, plan: list) -> Iterator[np.ndarray]:
-    """The key of each window in each repeat. ``words``: ids, followed by ``window`` of padding."""
+def _run_keys(words: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
+    """A hash of the ``window`` words from each start."""
     mult = np.uint64(0x9E3779B97F4A7C15)
-    for r, (bits, places) in enumerate(plan):
-        at = starts.copy()
-        end = starts + window
-        key = np.full(len(starts), r + 1, np.uint64)
-        wanted = set(places.tolist())
-        for step in range(int(places[-1]) + 1):
-            here = np.where(at < end, words[at], -1)
-            if step in wanted:
-                with np.errstate(over="ignore"):
-                    key = (key ^ here.astype(np.uint64)) * mult
-                    key ^= key >> np.uint64(31)
-            at = np.minimum(at + bits[step][here & 63], end)
-        yield key
+    key = np.ones(len(starts), np.uint64)
+    for j in range(window):
+        key = (key ^ words[starts + j].astype(np.uint64)) * mult
+        key ^= key >> np.uint64(31)
+    return key
 
 
 class ItemIndex:
-    """The items' words, and the keys of their windows."""
+    """The items' words, the hashes of their runs, and postings of their rarest words."""
+
+    #: Postings that are followed at once.
+    CELLS = 4_000_000
 
-    def __init__(self, items: list[tuple[int, str]], window: int, samples: int, repeats: int):
-        self.window, self.plan = window, cgk_plan(window, samples, repeats)
+    def __init__(self, items: list[tuple[int, str]], window: int, share: float, stretch: float):
+        self.window = window
         self.ids: dict[str, int] = {}
         self.items: list[tuple[int, list[int]]] = []
         for item, text in items:
             self.items.append((item, [self.ids.setdefault(w, len(self.ids) + 1) for w in folded_words(text)]))
+        lengths = [len(ws) for _, ws in self.items]
+        self.need = [max(1, math.ceil(n * share - 1e-9)) for n in lengths]
+        self.span = [int(n * stretch + 1e-9) for n in lengths]
+        self.step = max([1, *self.span])
+        self.bags = [Counter(ws) for _, ws in self.items]
+        self._index_runs()
+        self._index_words()
+
+    def _index_runs(self) -> None:
         flat, starts, owner = [], [], []
         for k, (_, ws) in enumerate(self.items):
-            for s in range(max(1, len(ws) - window + 1)) if ws else ():
+            for s in range(len(ws) - self.window + 1):
                 starts.append(len(flat) + s)
                 owner.append(k)
-            flat += [*ws, *([0] * window)]
+            flat += ws
         words, at, own = np.array(flat or [0], np.int64), np.array(starts, np.int64), np.array(owner, np.int64)
-        keys, owners = [], []
-        for key in cgk_keys(words, at, window, self.plan):
-            keys.append(key)
-            owners.append(own)
-        k, o = (np.concatenate(keys), np.concatenate(owners)) if keys else (np.empty(0, np.uint64), np.empty(0, np.int64))
-        order = np.lexsort((o, k))
-        k, o = k[order], o[order]
-        first = np.concatenate([[True], (k[1:] != k[:-1]) | (o[1:] != o[:-1])]) if len(k) else np.empty(0, bool)
-        self.keys, self.owners = k[first], o[first]
-        self.runs = [{tuple(ws[i : i + window]) for i in range(len(ws) - window + 1)} for _, ws in self.items]
-        self.bags = [Counter(ws) for _, ws in self.items]
-
-    def candidates(self, docs: list[np.ndarray]) -> set[tuple[int, int]]:
-        """(document, item) that meet in some window and repeat. Windows with less than half their words in any item can't hold a passage."""
+        keys = _run_keys(words, at, self.window)
+        order = np.argsort(keys, kind="stable")
+        self.run_keys, self.run_owners, self.flat, self.run_starts = keys[order], own[order], words, at[order]
+
+    def _index_words(self) -> None:
+        """Postings (word: item, occurrences) of the item's ``n - need + t`` rarest words, t being half of what it needs."""
+        held_by = Counter(w for bag in self.bags for w in bag)
+        least, rows = [], []
+        for k, (_, ws) in enumerate(self.items):
+            t = max(1, self.need[k] // 2)
+            least.append(t)
+            rare = sorted(ws, key=lambda w: (held_by[w], w))[: max(0, len(ws) - self.need[k] + t)]
+            rows += [(w, k, c) for w, c in Counter(rare).items()]
+        rows.sort()
+        word, self.post_item, self.post_count = (np.array([r[i] for r in rows], np.int64) for i in range(3))
+        self.post_at = np.searchsorted(word, np.arange(len(self.ids) + 2))
+        self.least = np.array(least, np.int64)
+
+    def runs(self, words: np.ndarray, doc: np.ndarray) -> set[tuple[int, int]]:
+        """(document, item) with a run of ``window`` words of the item. ``words``: ids, 0 between documents; ``doc``: whose they are."""
         w = self.window
-        padded = [np.concatenate([d, np.zeros(w, np.int64)]) for d in docs]
-        words = np.concatenate(padded) if padded else np.zeros(0, np.int64)
-        if not len(words):
-            return set()
         known = np.concatenate([[0], np.cumsum(words > 0)])
-        dense = np.flatnonzero(known[w:] - known[:-w] >= w // 2)
-        dense = dense[(words[dense] > 0) & (dense + w <= len(words))]
-        if not len(dense):
-            return set()
-        ends = np.cumsum([len(p) for p in padded])
-        doc = np.searchsorted(ends, dense, side="right")
+        at = np.flatnonzero(known[w:] - known[:-w] == w)
+        key = _run_keys(words, at, w)
+        lo, hi = np.searchsorted(self.run_keys, key, "left"), np.searchsorted(self.run_keys, key, "right")
         out: set[tuple[int, int]] = set()
-        for key in cgk_keys(words, dense, w, self.plan):
-            lo, hi = np.searchsorted(self.keys, key, "left"), np.searchsorted(self.keys, key, "right")
-            for i in np.flatnonzero(hi > lo):
-                out.update((int(doc[i]), int(o)) for o in self.owners[lo[i] : hi[i]])
+        for i in np.flatnonzero(hi > lo):
+            for j in range(lo[i], hi[i]):
+                pair, s = (int(doc[at[i]]), int(self.run_owners[j])), self.run_starts[j]
+                if pair not in out and np.array_equal(words[at[i] : at[i] + w], self.flat[s : s + w]):
+                    out.add(pair)
         return out
 
-    def holds(self, d: list[int], k: int, share: float, stretch: float) -> bool:
-        """Exact: a run of ``window`` item words, or ``share`` of the item's words in order within ``stretch`` of its length."""
-        runs = self.runs[k]
-        ws, bag = self.items[k][1], self.bags[k]
+    def pieces(self, words: np.ndarray, doc: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(document, piece, item) where the piece has as many of the item's rarest words as a passage can't do without."""
+        at = np.flatnonzero(words > 0)
+        if not len(at) or not len(self.post_item):
+            return
+        # piece k goes from k to k + 2 steps; a word is in the piece that begins before it and in the one before that
+        wide, no = int(place.max()) // self.step + 1, place[at] // self.step
+        piece = doc[at] * wide + no
+        back = no > 0
+        piece, word = np.concatenate([piece, piece[back] - 1]), np.concatenate([words[at], words[at][back]])
+        cell, count = np.unique(piece * (len(self.ids) + 1) + word, return_counts=True)
+        piece, word = np.divmod(cell, len(self.ids) + 1)
+        posts = self.post_at[word + 1] - self.post_at[word]
+        first = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]]))
+        cost = np.cumsum(np.add.reduceat(posts, first))
+        cuts = [*first[np.flatnonzero(np.diff(cost // self.CELLS, prepend=-1))], len(piece)]
+        for a, b in zip(cuts, cuts[1:]):
+            n = posts[a:b]
+            row = np.repeat(np.arange(a, b), n)
+            post = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + self.post_at[word[row]]
+            low = piece[a]
+            pair = (piece[row] - low) * len(self.items) + self.post_item[post]
+            both = np.minimum(self.post_count[post], count[row])
+            if (piece[b - 1] - low + 1) * len(self.items) > self.CELLS:
+                pair, back_to = np.unique(pair, return_inverse=True)
+                both = np.bincount(back_to, both)
+            else:
+                both = np.bincount(pair, both)
+                pair = np.flatnonzero(both)
+                both = both[pair]
+            for x in pair[both >= self.least[pair % len(self.items)]].tolist():
+                p, k = divmod(x, len(self.items))
+                yield *divmod(p + int(low), wide), k
+
+    def leaks(self, docs: list[list[int]]) -> list[tuple[int, int]]:
+        """(document, item), both by place in their lists."""
+        words = np.array([w for d in docs for w in (*d, 0)], np.int64)
+        if not len(words) or not self.ids:
+            return []
+        lengths = np.array([len(d) + 1 for d in docs])
+        doc = np.repeat(np.arange(len(docs)), lengths)
+        place = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        out = self.runs(words, doc)
+        for d, p, k in self.pieces(words, doc, place):
+            if (d, k) not in out and self.holds(docs[d][p * self.step : (p + 2) * self.step], k):
+                out.add((d, k))
+        return sorted(out)
+
+    def holds(self, d: list[int], k: int) -> bool:
+        """Exact: enough of the item's words in order within its stretch."""
+        ws, bag, need, span = self.items[k][1], self.bags[k], self.need[k], self.span[k]
         at = [i for i, x in enumerate(d) if x in bag]
-        w = self.window
-        if any(at[j + w - 1] - i == w - 1 and tuple(d[i : i + w]) in runs for j, i in enumerate(at[: 1 - w or None])):
-            return True
-        n = len(ws)
-        need, span = math.ceil(n * share - 1e-9), int(n * stretch + 1e-9)
-        if len(at) < need:
+        if all(b - a >= span for a, b in zip(at, at[need - 1 :])):
             return False
         places: dict[int, list[int]] = defaultdict(list)
         for j, x in enumerate(ws):
             places[x].append(j)
-        for f, b in enumerate(at):
-            inside = [d[i] for i in at[f : f + span] if i < b + span]
-            if len(inside) < need or sum((bag & Counter(inside)).values()) < need:
-                continue
-            if _common(inside, places, n) >= need:
+        have: Counter = Counter()
+        common = first = 0
+        for last, b in enumerate(at):
+            have[d[b]] += 1
+            common += have[d[b]] <= bag[d[b]]
+            while at[first] <= b - span:
+                x = d[at[first]]
+                common -= have[x] <= bag[x]
+                have[x] -= 1
+                first += 1
+            if common >= need and _common([d[i] for i in at[first : last + 1]], places, len(ws)) >= need:
                 return True
         return False
 
@@ -174,7 +206,7 @@ def _common(xs: list[int], places: dict[int, list[int]], n: int) -> int:
     return len(ends)
 
 
-def _search(batches: Iterator[pa.RecordBatch], index: ItemIndex, share: float, stretch: float) -> Iterator[pa.RecordBatch]:
+def _search(batches: Iterator[pa.RecordBatch], index: ItemIndex) -> Iterator[pa.RecordBatch]:
     ids_of: dict[str, int] = {}  # as written: id in the items, 0 for other words, -1 for none
 
     def word_ids(text: str) -> list[int]:
@@ -195,11 +227,7 @@ def _search(batches: Iterator[pa.RecordBatch], index: ItemIndex, share: float, s
             part = batch.slice(at, 500)
             ids = part.column(0).to_pylist()
             lists = [word_ids(t) for t in part.column(1).to_pylist()]
-            hits = [
-                (ids[d], index.items[k][0])
-                for d, k in sorted(index.candidates([np.array(x, np.int64) for x in lists]))
-                if index.holds(lists[d], k, share, stretch)
-            ]
+            hits = [(ids[d], index.items[k][0]) for d, k in index.leaks(lists)]
             yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in hits], pa.int64()), pa.array([h[1] for h in hits], pa.int64())], names=["doc_id", "item_id"])
 
 
@@ -209,9 +237,6 @@ def leaked_items(
     window: int = 12,
     share: float = 2 / 3,
     stretch: float = 1.5,
-    samples: int = 4,
-    edits: int = 2,
-    recall: float = 0.98,
     block: int = 20_000,
 ) -> DataFrame:
     """(doc_id, item_id): documents with ``window`` consecutive words of an item, or ``share`` of its words
@@ -226,14 +251,13 @@ def leaked_items(
     ship(spark)
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     asked = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).distinct()
-    repeats = repeats_for(recall, window, samples, edits)
     out, last = spark.createDataFrame([], "doc_id bigint, item_id bigint"), None
     while True:
         rows = (asked if last is None else asked.filter(F.col("item_id") > last)).orderBy("item_id", "text").limit(block).collect()
         if not rows:
             return out.distinct()
-        held = spark.sparkContext.broadcast(ItemIndex([(r[0], r[1]) for r in rows], window, samples, repeats))
-        out = out.union(docs.mapInArrow(lambda it, h=held: _search(it, h.value, share, stretch), "doc_id bigint, item_id bigint"))
+        held = spark.sparkContext.broadcast(ItemIndex([(r[0], r[1]) for r in rows], window, share, stretch))
+        out = out.union(docs.mapInArrow(lambda it, h=held: _search(it, h.value), "doc_id bigint, item_id bigint"))
         last = rows[-1][0]
         if len(rows) < block:
             return out.distinct()

@@ -222,6 +222,29 @@ def test_leaks_brute_force(spark):
     assert leak.leaked_items(df, spark.createDataFrame([], "item_id bigint, text string")).count() == 0
 
 
+@pytest.mark.parametrize("spread", ["evenly", "random"])
+def test_leaks_at_the_limit(spark, spread):
+    """Two thirds of the words, the others lost, with foreign words between up to one and a half times the item."""
+    rng = random.Random(6)
+    items = [(i, " ".join(f"слово{rng.randrange(300)}а" for _ in range(54))) for i in range(5)]
+    docs, want = [], set()
+    for d in range(60):
+        kept = items[d % 5][1].split()
+        kept = [w for j, w in enumerate(kept) if j % 3 != d % 3] if spread == "evenly" else [kept[j] for j in sorted(rng.sample(range(54), 36))]
+        if d % 4 == 3:
+            del kept[rng.randrange(36)]  # one word short
+        else:
+            want.add((d, d % 5))
+        at = [round(x * 80 / (len(kept) - 1)) for x in range(len(kept))] if spread == "evenly" else [0, *sorted(rng.sample(range(1, 80), len(kept) - 2)), 80]
+        text = [f"чужое{rng.randrange(10**6)}" for _ in range(81)]
+        for w, k in zip(kept, at):
+            text[k] = w
+        docs.append((d, " ".join(["начало"] * rng.randrange(400) + text + ["конец"] * rng.randrange(90))))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {tuple(r) for r in leak.leaked_items(df, spark.createDataFrame(items, "item_id bigint, text string"), block=3).collect()}
+    assert got == want
+
+
 # ---- 7
 
 
