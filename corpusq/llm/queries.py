@@ -58,6 +58,12 @@ def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumns({"lift": F.round("lift", 6), "llr": F.round("llr", 4)})
 
 
+def p5_all_pairs(spark: SparkSession, d: str) -> DataFrame:
+    # every pair, those of one shared page included; p5_pairs keeps its threshold
+    out = co_occurrences(table(spark, d, "entities"))
+    return out.withColumns({"lift": F.round("lift", 6), "llr": F.round("llr", 4)})
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
@@ -82,7 +88,7 @@ def p8_documents(spark: SparkSession, d: str) -> DataFrame:
     return Languages(table(spark, d, "documents")).documents()
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_repair, p2_found, p2_pieces, p3_found, p3_clean, p4_found, p5_found, p5_pairs, p6_found, p7_mix, p7_shares, p8_found, p8_segments, p8_documents)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_repair, p2_found, p2_pieces, p3_found, p3_clean, p4_found, p5_found, p5_pairs, p5_all_pairs, p6_found, p7_mix, p7_shares, p8_found, p8_segments, p8_documents)}
 _SPACE = "\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 _ITEMS = f"""i AS (SELECT DISTINCT source_file, page, trim(type) || ':' || n AS item FROM (SELECT *, regexp_replace(regexp_replace(translate(regexp_replace(upper(name), '[\\x{{2010}}-\\x{{2015}}\\x{{2212}}\\x{{ad}}\\x{{fe58}}\\x{{fe63}}\\x{{ff0d}}]', '-', 'g'), 'ABEKMHOPCTXY', 'АВЕКМНОРСТХУ'), '^[{_SPACE}]+', ''), '[{_SPACE}\\pP\\pS]+$', '') AS n FROM entities) WHERE source_file IS NOT NULL AND page IS NOT NULL AND n <> ''),
 t AS (SELECT count(DISTINCT (source_file, page)) AS n FROM i), f AS (SELECT item, count(*) AS pages FROM i GROUP BY 1),
@@ -99,4 +105,5 @@ o AS (SELECT a.chunk_id AS chunk_a, b.chunk_id AS chunk_b, count(*) AS o FROM s
 SELECT chunk_a, chunk_b FROM o JOIN n x ON x.chunk_id = chunk_a JOIN n y ON y.chunk_id = chunk_b WHERE o >= 0.7 * (x.n + y.n - o)""",
     "p5_found": f"WITH {_ITEMS} SELECT item_a, item_b FROM pc WHERE shared >= 5 AND shared >= 0.003::DOUBLE * pages AND shared * pages >= 3.0 * pages_a * pages_b",
     "p5_pairs": f"WITH {_ITEMS} SELECT item_a, item_b, shared, pages_a, pages_b, pages, round(shared * pages / (pages_a * pages_b)::DOUBLE, 6) AS lift, round({_LLR}, 4) AS llr FROM pc WHERE shared >= 2",
+    "p5_all_pairs": f"WITH {_ITEMS} SELECT item_a, item_b, shared, pages_a, pages_b, pages, round(shared * pages / (pages_a * pages_b)::DOUBLE, 6) AS lift, round({_LLR}, 4) AS llr FROM pc",
 }

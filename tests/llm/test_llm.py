@@ -2,6 +2,8 @@
 
 import random
 import re
+from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -9,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from corpusq.llm import langid, leak, lines, mix, neardup, queries, scan_noise, split
-from corpusq.llm.cooccur import co_occurrences
+from corpusq.llm.cooccur import co_occurrences, page_items
 from tests.oracle import assert_same, connect
 
 CHUNK = "chunk_id string, chunk_no int, text string, page int, source_file string, document_id string, type string, image_path string, count string, fp string"
@@ -173,6 +175,16 @@ def test_cooccurrence(spark):
     assert co_occurrences(df.limit(0), 1).count() == 0
 
 
+def test_pairs_of_one_page_are_reported(spark, small):
+    """Against a count of every pair on every page, whatever the number of pages."""
+    pages = {}
+    for r in page_items(spark.read.parquet(f"{small}/entities.parquet")).collect():
+        pages.setdefault((r.source_file, r.page), set()).add(r.item)
+    want = Counter(p for items in pages.values() for p in combinations(sorted(items), 2))
+    got = {(r.item_a, r.item_b): r.shared for r in queries.QUERIES["p5_all_pairs"](spark, small).collect()}
+    assert got == want and 1 in got.values()
+
+
 # ---- 6
 
 
