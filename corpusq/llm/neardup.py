@@ -111,8 +111,9 @@ def _signatures(batches: Iterator[pa.RecordBatch], size: int, min_words: int) ->
                     pa.array([len(s) for s in sets], pa.int32()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int32))),
                     pa.array([ring_code(s).tobytes() for s in sets], pa.binary()),
+                    part.column(2),
                 ],
-                names=["chunk_id", "fp", "n", "points", "code"],
+                names=["chunk_id", "fp", "n", "points", "code", "text_hash"],
             )
 
 
@@ -277,9 +278,9 @@ class NearDuplicates:
         ship(spark)
         if matches < ASKED + 3:
             raise ValueError(f"matches must be at least {ASKED + 3}")
-        texts = chunks.select("chunk_id", "text").filter(F.col("chunk_id").isNotNull() & F.col("text").isNotNull())
+        texts = chunks.select("chunk_id", "text", F.xxhash64("text").alias("text_hash")).filter(F.col("chunk_id").isNotNull() & F.col("text").isNotNull())
         sig = stage(
-            texts.mapInArrow(lambda it: _signatures(it, size, min_words), "chunk_id string, fp bigint, n int, points array<int>, code binary").filter("n > 0"),
+            texts.mapInArrow(lambda it: _signatures(it, size, min_words), "chunk_id string, fp bigint, n int, points array<int>, code binary, text_hash bigint").filter("n > 0"),
             "p4-signatures",
         )
         self.members = sig.select("chunk_id", "fp").distinct()
@@ -290,7 +291,7 @@ class NearDuplicates:
         found = runs.filter("b is not null").select("a", "b").unionByName(
             long.alias("x").join(long.select("key", F.col("a").alias("b")).alias("y"), "key").filter("a < b").select("a", "b")
         )
-        light = sig.groupBy("fp").agg(F.first("n").alias("n"), F.first("code").alias("code"), F.min("chunk_id").alias("one"))
+        light = sig.groupBy("fp").agg(F.first("n").alias("n"), F.first("code").alias("code"), F.min(F.struct("chunk_id", "text_hash")).alias("one"))
         counted = found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common")).filter(F.col("common") >= ASKED)
         la = light.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("code").alias("ca"))
         lb = light.select(F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("code").alias("cb"))
@@ -300,9 +301,9 @@ class NearDuplicates:
             "p4-candidates",
         )
         ids = alive.select(F.col("a").alias("fp")).union(alive.select(F.col("b").alias("fp"))).distinct()
-        needed = light.join(ids, "fp", "left_semi").select("fp", F.col("one").alias("chunk_id"))
+        needed = light.join(ids, "fp", "left_semi").select("fp", "one.chunk_id", "one.text_hash")
         small = alive.limit(BROADCAST_ROWS // 2 + 1).count() <= BROADCAST_ROWS // 2
-        text = texts.join(F.broadcast(needed) if small else needed, "chunk_id").select("fp", "text").dropDuplicates(["fp"])
+        text = texts.join(F.broadcast(needed) if small else needed, ["chunk_id", "text_hash"]).select("fp", "text").dropDuplicates(["fp"])
         self.pairs = (
             alive.join(text.select(F.col("fp").alias("a"), F.col("text").alias("ta")), "a")
             .join(text.select(F.col("fp").alias("b"), F.col("text").alias("tb")), "b")

@@ -151,6 +151,19 @@ def test_near_duplicates_brute_force(spark):
     assert got == want and want
 
 
+def test_near_duplicates_of_an_id_with_two_texts(spark):
+    """Each text of the id has a near-duplicate of its own, which must be held against that text."""
+    rng = random.Random(5)
+    rows, want = [], set()
+    for i in range(12):
+        for k in "xy":
+            t = [f"слово{rng.randrange(10**6)}" for _ in range(60)]
+            rows += [(f"a{i}", " ".join(t), 1, "s", ""), (f"b{i}{k}", " ".join([*t, "ещё"]), 1, "s", "")]
+            want.add((f"a{i}", f"b{i}{k}"))
+    got = {tuple(r) for r in neardup.NearDuplicates(chunks(spark, rows + rows[:7])).chunk_pairs().collect()}
+    assert got == want
+
+
 def test_near_duplicates_empty(spark):
     assert neardup.NearDuplicates(chunks(spark, AWKWARD).limit(0)).chunk_pairs().count() == 0
 
