@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import Query, stage, table
+from ..runtime import Query, table
 from .cooccur import co_occurrences
 from .langid import Languages
 from .leak import leaked_items
 from .lines import repeated_lines, without_repeated_lines
 from .mix import Mixture
 from .neardup import NearDuplicates
-from .scan_noise import found, repair_scans
+from .scan_noise import ScanRepair
 from .split import split_oversized
 
 
@@ -21,12 +21,11 @@ def _text_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    # both kinds come from one pass over the pages
-    return found(stage(repair_scans(table(spark, d, "chunks")).select("chunk_id", "lines", "words"), "p1-repaired"))
+    return ScanRepair(table(spark, d, "chunks")).found()
 
 
 def p1_repair(spark: SparkSession, d: str) -> DataFrame:
-    return repair_scans(table(spark, d, "chunks"))
+    return ScanRepair(table(spark, d, "chunks")).texts()
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

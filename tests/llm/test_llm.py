@@ -33,29 +33,92 @@ def test_sql(spark, small, name):
 # ---- 1
 
 
-def test_scan_repair(spark):
-    base = ["Мощность карбонатного разреза достигает пористости известняка", "Температура северо-западного песчаника оценивается отдельно", "Содержание органического вещества внутри доломита не превышает нормы"]
-    rows = [(f"k{i}", "\n".join(["так говорится: " + b + " здесь" for b in base]), i, "чистая", "") for i in range(60)]
+BASE = ["Мощность карбонатного разреза достигает пористости известняка", "Температура северо-западного песчаника оценивается отдельно", "Содержание органического вещества внутри доломита не превышает нормы"]
+
+
+def scan_rows():
+    rows = [(f"k{i}", "\n".join(["так говорится: " + b + " здесь" for b in BASE]), i, "чистая", "") for i in range(60)]
     noisy = "Труды лаборатории геологии, том 7\nМощность карбо-\nнатного pазреза достигает пори\nстости известняка и северо-\nзападного песчаника\nтекст дальше идёт ровно о доломите\n— 5 —"
     rows += [("s0", noisy, 5, "скан", "a.jpg")]
-    rows += [(f"s{i}", f"Труды лаборатории геологии, том {i}\nМощность доломита {w} велика\n— {i} —", i, "скан", "a.jpg") for i, w in enumerate(["раз", "два", "три", "пять", "семь"], 1)]
-    got = {(r.chunk_id, r.kind, r.item) for r in scan_noise.found(scan_noise.repair_scans(chunks(spark, rows + AWKWARD))).collect()}
+    return rows + [(f"s{i}", f"Труды лаборатории геологии, том {i}\nМощность доломита {w} велика\n— {i} —", i, "скан", "a.jpg") for i, w in enumerate(["раз", "два", "три", "пять", "семь"], 1)]
+
+
+@pytest.mark.parametrize("common", [None, 3])
+def test_scan_repair(spark, monkeypatch, common):
+    """With all words and pairs sent to the tasks, and with nearly all of them joined."""
+    if common is not None:
+        monkeypatch.setattr(scan_noise, "COMMON_WORDS", common)
+        monkeypatch.setattr(scan_noise, "COMMON_PAIRS", common)
+    repair = scan_noise.ScanRepair(chunks(spark, scan_rows() + AWKWARD))
+    got = {(r.chunk_id, r.kind, r.item) for r in repair.found().collect()}
     assert {("s0", "line", "1"), ("s0", "line", "7"), ("s3", "line", "1"), ("s3", "line", "3")} <= got
     assert {i for c, k, i in got if c == "s0" and k == "word"} == {"карбонатного", "разреза", "пористости", "северо-западного"}
-    text = {r.chunk_id: r.text for r in scan_noise.repair_scans(chunks(spark, rows)).collect()}["s0"]
-    assert "Мощность карбонатного разреза достигает пористости известняка и северо-западного песчаника" in text
+    text = {r.chunk_id: r.text for r in repair.texts().collect()}
+    assert "Мощность карбонатного разреза достигает пористости известняка и северо-западного песчаника" in text["s0"]
+    assert text["n3"] == "12 34\n\n…" and text["n4"] == " ".join(["слово"] * 3000)
+
+
+def test_scans_whatever_is_sent(spark, small, monkeypatch):
+    """The rows don't depend on how many words and pairs the tasks get."""
+    df = spark.read.parquet(f"{small}/chunks.parquet")
+    rows = lambda: {tuple(r) for r in scan_noise.ScanRepair(df).found().collect()}
+    want = rows()
+    monkeypatch.setattr(scan_noise, "COMMON_WORDS", 50)
+    monkeypatch.setattr(scan_noise, "COMMON_PAIRS", 10)
+    assert rows() == want and len(want) > 100
+
+
+def test_short_and_misread_heads(spark):
+    """A head of a few letters counts by its place; a long one may have three letters wrong, each in another block."""
+    head = "известиявысшихучебныхзаведенийгорныйвыпуск"
+    rows = [(f"h{i}", f"Гл. {i} Недра\n{head}\nпро {w} и прочее\nитого", i, "книга", "x.jpg") for i, w in enumerate(["мел", "юру", "пермь", "карбон", "девон", "силур"])]
+    wrong = "избестиявысшихученныхзаведенийгорпыйвыпуск"
+    rows += [("h9", f"Недра\n{wrong}\nэто недра\nнедра\nсловом", 9, "книга", "x.jpg")]
+    got = {(r.chunk_id, int(r.item)) for r in scan_noise.ScanRepair(chunks(spark, rows)).found().collect() if r.kind == "line"}
+    assert {("h9", 2), ("h0", 1), ("h0", 2)} <= got and ("h0", 3) not in got
 
 
 def test_scan_empty(spark):
-    assert scan_noise.repair_scans(chunks(spark, AWKWARD).limit(0)).count() == 0
+    repair = scan_noise.ScanRepair(chunks(spark, AWKWARD).limit(0))
+    assert repair.found().count() == 0 and repair.texts().count() == 0
+
+
+class Anything:
+    def may_have(self, _):
+        return True
 
 
 def test_misread_words():
-    ch = scan_noise.Channel({"пласта": 900, "пласга": 3, "известняк": 500}, {}, 10_000)
-    assert ch.decode(["плacта"]) == ["пласта"]  # Latin twins
-    assert ch.decode(["пласга"]) == ["пласта"]  # a rare word with a far more frequent twin
-    assert ch.decode(["и3весгняк"]) == ["известняк"]  # two errors
-    assert ch.decode(["неизвестное"]) == ["неизвестное"]
+    words = {"пласта": 900, "пласга": 3, "известняк": 500}
+
+    def alike(w):
+        own = words.get(w, 1) - 1 if scan_noise.is_sound(w) else 0
+        got = [(v, c, scan_noise.route(w, v, own)) for v, c in words.items() if v != w and c >= max(2, scan_noise.RATIO * own)]
+        return [{"v": v, "cv": c, "level": r[0], "ops": [a + ">" + b for a, b in r[1]]} for v, c, r in got if r]
+
+    given = ["placта", "плacта", "пласга", "и3весгняк", "неизвестное"]
+    ch = scan_noise.Channel({}, 10_000, [(w, words.get(w, 0), alike(w)) for w in given], [], (Anything(), Anything()))
+    read = {w: ch.readings(w)[0][0] for w in given}
+    assert read["плacта"] == read["пласга"] == "пласта"  # Latin twins; a rare word with a far more frequent twin
+    assert read["и3весгняк"] == "известняк" and read["неизвестное"] == "неизвестное"  # two errors; none
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("аоестнипл", min_size=6, max_size=12), st.data())
+def test_skeletons_meet(v, data):
+    """What one or two confusions make of a word meets it by its skeleton, with a way back."""
+    back = {}
+    for a, bs in scan_noise.CONFUSIONS.items():
+        for b in bs:
+            back.setdefault(b, []).append(a)
+    w = list(v)
+    for _ in range(data.draw(st.integers(1, 2))):
+        i = data.draw(st.integers(0, len(w) - 1))
+        if w[i] in back:
+            w[i] = data.draw(st.sampled_from(back[w[i]]))
+    w = "".join(w)
+    if w != v and scan_noise.is_sound(w):
+        assert v.translate(scan_noise._SKELETON) in scan_noise.skeletons(w)
 
 
 # ---- 2
@@ -104,18 +167,40 @@ def test_within(a, b, k):
     assert lines.within(a, b, k) == (lev(a, b) <= k)
 
 
-def test_tree_finds_all_variants():
+@pytest.mark.parametrize(("edits", "length"), [(2, 20), (2, 47), (3, 31), (3, 64)])
+def test_blocks_meet(edits, length):
+    """A line with as many letters changed, lost or added has a node that its template may have."""
     rng = random.Random(5)
-    key = "перепечаткабезписьменногосогласиянедопускается"
-    tree = lines.TemplateTree([(key, 10), ("совсемдругаястрокаотделакерна", 9)])
-    for _ in range(400):
+    shape = lines.Shape(20, edits)
+    for _ in range(300):
+        key = "".join(rng.choice("абвгдежзиклмнопрст") for _ in range(length))
         v = list(key)
-        for _ in range(2):
+        for _ in range(edits):
             i = rng.randrange(len(v))
-            op = rng.randrange(3)
-            v[i : i + 1] = [] if op == 0 else ["ж"] if op == 1 else [v[i], "ж"]
-        assert tree.find("".join(v)) == 0
-    assert tree.find(key[:-3]) is None and tree.find("короткая") is None
+            v[i : i + 1] = rng.choice([[], ["ъ"], [v[i], "ъ"]])
+        v = "".join(v)
+        name = lambda x, c, j, s: (c, j, x[s : s + shape.block(c)])
+        shared = {name(v, *p) for p in shape.own(v)} & {name(key, *p) for p in shape.met(key)}
+        assert shared
+        cls, _, block = next(iter(shared))
+        rests = [[x[:s] + x[s + len(block) :] for c, _, s in at(x) if (c, x[s : s + len(block)]) == (cls, block)] for x, at in ((key, shape.met), (v, shape.own))]
+        found = []
+        for mine in rests[0]:
+            here = lines.Node(shape, cls)
+            here.add(key, mine)
+            found += [here.find(r, len(v)) for r in rests[1]]
+        assert key in found
+
+
+def test_node_names_agree(spark):
+    """The JVM names a line's nodes as Python does."""
+    shape = lines.Shape(20, 2)
+    keys = ["перепечаткабезписьменногосогласиянедопускается", "двадцатьбуквровнотуту", "восемнадцатьбуквтут"]
+    df = spark.createDataFrame([("s", k) for k in keys], "source_file string, line string")
+    from pyspark.sql import functions as F
+
+    for r in df.select("line", shape.node_columns(F.col("source_file"), F.col("line")).alias("n")).collect():
+        assert r.n == [lines.signed(lines.hash_of(x)) for x in shape.node_keys("s ", r.line)]
 
 
 def test_repeated_lines(spark):
