@@ -39,8 +39,10 @@ SEGMENTS, BITS = 16, 16
 COMMON = 0.0003
 #: At most so many common shingles are sent to every task (12 bytes each).
 COMMON_ROWS = 1_000_000
-#: A run of one box longer than this is left to Spark's skew-handling join.
+#: The owners of a box with a longer run are compared in pairs of blocks of about so many, and pruned before a pair leaves.
 LONG_RUN = 2048
+#: Rows of boxes that one task should sort.
+TASK_BOXES = 500_000
 #: A pair is looked at if it shares so many boxes (a hash collision may spoil up to three of ``matches``).
 ASKED = 3
 #: Below so many shingles two similar texts may share fewer boxes than ``matches``.
@@ -180,7 +182,7 @@ def _boxes(batches: Iterator[pa.RecordBatch], common: np.ndarray, counts: np.nda
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owners))], names=["key", "fp"])
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _runs(batches: Iterator[pa.RecordBatch], long_run: int) -> Iterator[pa.RecordBatch]:
     """From rows sorted by key: pairs of owners of one box; owners of boxes with long runs go out unpaired (b null)."""
     tail_k = tail_f = np.empty(0, np.int64)
     long_key: int | None = None
@@ -199,7 +201,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, e in zip(starts[multi].tolist(), ends[multi].tolist()):
             fs = sorted(set(f[s:e].tolist()))
             key = int(k[s])
-            if len(fs) > LONG_RUN or key == long_key:
+            if len(fs) > long_run or key == long_key:
                 oh += fs
                 ok += [key] * len(fs)
             else:
@@ -220,7 +222,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(k):
             continue
         first = int(np.searchsorted(k, k[-1]))  # the last run may go on in the next batch
-        if len(k) - first > 4 * LONG_RUN:  # it is long anyway: send it on now
+        if len(k) - first > 4 * long_run:  # it is long anyway: send it on now
             yield from pairs(k[:first], f[:first]) if first else ()
             fs = sorted(set(f[first:].tolist()))
             long_key = int(k[-1])
@@ -246,6 +248,67 @@ def _chains(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(alive)), batch.column(1).filter(pa.array(alive))], names=["a", "b"])
 
 
+def _block_pairs(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
+    """From owners sorted by (key, lo, hi): pairs of the two blocks that pass the size and chain filters, once a key."""
+    at: tuple | None = None
+    rows: list[tuple] = []
+
+    def pairs() -> Iterator[pa.RecordBatch]:
+        _, lo, hi = at
+        left = [r for r in rows if r[0] == lo]
+        right = left if lo == hi else [r for r in rows if r[0] == hi]
+        if not left or not right:
+            return
+        fp, n, code = np.array([r[1] for r in right], np.int64), np.array([r[2] for r in right], float), np.frombuffer(b"".join(r[3] for r in right), np.uint16).reshape(-1, SEGMENTS)
+        for i, (_, f, m, c) in enumerate(left):
+            rest = slice(i + 1, None) if lo == hi else slice(None)
+            other, size = fp[rest], n[rest]
+            fit = np.minimum(size, m) >= t * np.maximum(size, m) - 1
+            mine = np.repeat(np.frombuffer(c, np.uint16)[None], fit.sum(), axis=0)
+            fit[fit] = chain_survives(mine, code[rest][fit], np.floor((1 - t) / (1 + t) * (m + size[fit]) + 1e-9))
+            if fit.any():
+                other = other[fit]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, f)), pa.array(np.maximum(other, f))], names=["a", "b"])
+
+    for batch in batches:
+        for key, lo, hi, side, fp, n, code in zip(*(batch.column(i).to_pylist() for i in range(7))):
+            if at != (key, lo, hi):
+                if at is not None:
+                    yield from pairs()
+                at, rows = (key, lo, hi), []
+            rows.append((side, fp, n, code))
+    if at is not None:
+        yield from pairs()
+
+
+def components(links: DataFrame, name: str) -> DataFrame:
+    """node, root for each node of ``links`` (a, b): the least node of its component.
+
+    Every node is moved to the least of its neighbours, by turns of the greater and of the lesser ones (large and
+    small stars); each turn is written to the shared folder, and the number of turns grows as the logarithm of the
+    longest chain.
+    """
+
+    def turn(e: DataFrame, large: bool) -> DataFrame:
+        both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # a: the centre, b: a neighbour; a star of lesser neighbours takes only those below its centre
+        near = both if large else both.filter("b < a")
+        least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        moved = near.join(least, "a")
+        out = moved.filter("b > a" if large else "b <> m").select("b", "m")
+        own = moved.select(F.col("a").alias("b"), "m")
+        ends = (out if large else out.unionByName(own)).filter("b <> m").select(F.least("b", "m").alias("a"), F.greatest("b", "m").alias("b"))
+        return stage(ends.distinct(), name)
+
+    sums = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0])
+    edges = stage(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
+    seen = None
+    while seen != (now := sums(edges)):
+        seen = now
+        edges = turn(turn(edges, True), False)
+    return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+
+
 def _verify(batches: Iterator[pd.DataFrame], t: float, size: int) -> Iterator[pd.DataFrame]:
     def triples(text: str) -> set:
         tk = TOKEN.findall(text.lower())
@@ -273,7 +336,7 @@ class NearDuplicates:
     Repeated rows count once; null texts or ids, and texts without a shingle, are in no class.
     """
 
-    def __init__(self, chunks: DataFrame, t: float = 0.7, size: int = 3, min_words: int = 20, matches: int = 6):
+    def __init__(self, chunks: DataFrame, t: float = 0.7, size: int = 3, min_words: int = 20, matches: int = 6, long_run: int = LONG_RUN):
         spark = chunks.sparkSession
         ship(spark)
         if matches < ASKED + 3:
@@ -286,12 +349,16 @@ class NearDuplicates:
         self.members = sig.select("chunk_id", "fp").distinct()
         held = spark.sparkContext.broadcast(self._common(sig))
         boxes = sig.select("fp", "n", "points").mapInArrow(lambda it: _boxes(it, *held.value, t, matches), "key bigint, fp bigint")
-        runs = stage(boxes.repartition("key").sortWithinPartitions("key").mapInArrow(_runs, "a bigint, b bigint, key bigint"), "p4-runs")
-        long = runs.filter("b is null").select("key", "a").distinct()
-        found = runs.filter("b is not null").select("a", "b").unionByName(
-            long.alias("x").join(long.select("key", F.col("a").alias("b")).alias("y"), "key").filter("a < b").select("a", "b")
-        )
+        # as many tasks as keep each of one size, however many texts there are
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(sig.agg(F.sum("n")).collect()[0][0] or 0) // TASK_BOXES))
+        runs = stage(boxes.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(lambda it: _runs(it, long_run), "a bigint, b bigint, key bigint"), "p4-runs")
         light = sig.groupBy("fp").agg(F.first("n").alias("n"), F.first("code").alias("code"), F.min(F.struct("chunk_id", "text_hash")).alias("one"))
+        long = runs.filter("b is null").select("key", F.col("a").alias("fp")).distinct()
+        blocks = long.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / long_run).cast("int").alias("blocks"))
+        sides = long.join(blocks, "key").join(light.select("fp", "n", "code"), "fp").withColumn("side", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+        each = sides.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("side", "o").alias("lo"), F.greatest("side", "o").alias("hi"), "side", "fp", "n", "code")
+        met = each.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "side", "fp").mapInArrow(lambda it: _block_pairs(it, t), "a bigint, b bigint")
+        found = runs.filter("b is not null").select("a", "b").unionByName(met)
         counted = found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common")).filter(F.col("common") >= ASKED)
         la = light.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("code").alias("ca"))
         lb = light.select(F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("code").alias("cb"))
@@ -332,3 +399,15 @@ class NearDuplicates:
         return equal.select("chunk_a", "chunk_b").unionByName(
             other.select(F.least("ca", "cb").alias("chunk_a"), F.greatest("ca", "cb").alias("chunk_b"))
         ).distinct()
+
+    def groups(self) -> DataFrame:
+        """One row a chunk: chunk_id, class_id (the least chunk_id with its shingles), links (other classes that are near
+        duplicates of it), group_id (the least chunk_id that near-duplicates lead to). A chunk_id with several texts has a row for each."""
+        pairs = stage(self.pairs.select("a", "b"), "p4-pairs")
+        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        links = both.groupBy(F.col("a").alias("fp")).agg(F.count(F.lit(1)).alias("links"))
+        roots = components(pairs, "p4-stars").select(F.col("node").alias("fp"), "root")
+        classes = self.members.groupBy("fp").agg(F.min("chunk_id").alias("class_id")).join(links, "fp", "left").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        least = classes.groupBy("root").agg(F.min("class_id").alias("group_id"))
+        known = classes.join(least, "root").select("fp", "class_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"), "group_id")
+        return self.members.join(known, "fp").select("chunk_id", "class_id", "links", "group_id")
