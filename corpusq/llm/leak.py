@@ -253,11 +253,13 @@ def leaked_items(
     asked = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).distinct()
     out, last = spark.createDataFrame([], "doc_id bigint, item_id bigint"), None
     while True:
-        rows = (asked if last is None else asked.filter(F.col("item_id") > last)).orderBy("item_id", "text").limit(block).collect()
+        # an item_id may have several texts, so a block goes on after the last id and text
+        left = asked if last is None else asked.filter((F.col("item_id") > last[0]) | ((F.col("item_id") == last[0]) & (F.col("text") > last[1])))
+        rows = left.orderBy("item_id", "text").limit(block).collect()
         if not rows:
             return out.distinct()
         held = spark.sparkContext.broadcast(ItemIndex([(r[0], r[1]) for r in rows], window, share, stretch))
         out = out.union(docs.mapInArrow(lambda it, h=held: _search(it, h.value), "doc_id bigint, item_id bigint"))
-        last = rows[-1][0]
+        last = rows[-1]
         if len(rows) < block:
             return out.distinct()
