@@ -330,8 +330,8 @@ def _segments(batches: Iterator[pa.RecordBatch], model: LanguageModel) -> Iterat
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
-            cols: list[list] = [[] for _ in range(7)]
-            for doc, found in zip(part.column(0).to_pylist(), model.decode(part.column(1).to_pylist())):
+            cols: list[list] = [[] for _ in range(8)]
+            for doc, text_hash, found in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), model.decode(part.column(1).to_pylist())):
                 runs: list[list] = []
                 for b, e, lang, conf, n in found:
                     if lang < 0:
@@ -343,11 +343,11 @@ def _segments(batches: Iterator[pa.RecordBatch], model: LanguageModel) -> Iterat
                     else:
                         runs.append([b, e, lang, conf * n, n])
                 for k, (b, e, lang, conf, n) in enumerate(runs):
-                    for c, v in zip(cols, (doc, k, b, e, LANGUAGES[lang], round(conf / n, 6), n)):
+                    for c, v in zip(cols, (doc, k, b, e, LANGUAGES[lang], round(conf / n, 6), n, text_hash)):
                         c.append(v)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int32()))],
-                names=["doc_id", "segment_no", "first_char", "end_char", "lang", "confidence", "letters"],
+                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.int64()))],
+                names=["doc_id", "segment_no", "first_char", "end_char", "lang", "confidence", "letters", "text_hash"],
             )
 
 
@@ -356,7 +356,8 @@ class Languages:
 
     ``per_label`` bounds the sample that the model is fitted on (texts for each language that labels
     name); every document is then scored, whole. Null texts have no segments, nor have texts without
-    letters; repeated rows count once in ``mislabelled`` and ``documents``.
+    letters; repeated rows count once (what they give is dropped after scoring, so texts aren't shuffled); a
+    doc_id with several texts has the stretches of each.
     """
 
     def __init__(self, documents: DataFrame, per_label: int = 200, vocabulary: str = VOCABULARY):
@@ -365,9 +366,11 @@ class Languages:
         rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang").filter("doc_id is not null and text is not null")
         self.rows = rows
         held = spark.sparkContext.broadcast(LanguageModel(labelled_sample(rows, per_label), vocabulary))
-        self.segments = rows.select("doc_id", "text").mapInArrow(lambda it: _segments(it, held.value), SEGMENTS)
-        self._labelled = rows.select("doc_id", label_language(F.col("lang")).alias("named"), "text").mapInArrow(
-            lambda it: _totals(it, held.value), "doc_id bigint, named string, lang string, letters int, confidence double"
+        text_hash = F.xxhash64("text")
+        scored = rows.select("doc_id", "text", text_hash).mapInArrow(lambda it: _segments(it, held.value), SEGMENTS + ", text_hash bigint")
+        self.segments = scored.dropDuplicates(["doc_id", "text_hash", "segment_no"]).drop("text_hash")
+        self._labelled = rows.select("doc_id", label_language(F.col("lang")).alias("named"), "text", text_hash).mapInArrow(
+            lambda it: _totals(it, held.value), "doc_id bigint, text_hash bigint, named string, lang string, letters int, confidence double"
         )
 
     def mislabelled(self, min_letters: int = 50) -> DataFrame:
@@ -377,7 +380,8 @@ class Languages:
 
     def documents(self) -> DataFrame:
         """doc_id, lang (of most letters), confidence, share of the letters, and what the label names."""
-        most = self._labelled.groupBy("doc_id").agg(F.max(F.struct("letters", "lang", "confidence", "named")).alias("x"), F.sum("letters").alias("n"))
+        once = self._labelled.groupBy("doc_id", "text_hash", "lang").agg(F.max("letters").alias("letters"), F.max("confidence").alias("confidence"), F.max("named").alias("named"))
+        most = once.groupBy("doc_id").agg(F.max(F.struct("letters", "lang", "confidence", "named")).alias("x"), F.sum("letters").alias("n"))
         return most.select("doc_id", "x.lang", "x.confidence", (F.col("x.letters") / F.col("n")).alias("share"), "x.named")
 
 
@@ -385,8 +389,8 @@ def _totals(batches: Iterator[pa.RecordBatch], model: LanguageModel) -> Iterator
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
-            cols: list[list] = [[] for _ in range(5)]
-            for doc, named, found in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), model.decode(part.column(2).to_pylist())):
+            cols: list[list] = [[] for _ in range(6)]
+            for doc, named, text_hash, found in zip(*(part.column(i).to_pylist() for i in (0, 1, 3)), model.decode(part.column(2).to_pylist())):
                 letters: Counter = Counter()
                 sure: Counter = Counter()
                 for _, _, lang, conf, n in found:
@@ -394,9 +398,9 @@ def _totals(batches: Iterator[pa.RecordBatch], model: LanguageModel) -> Iterator
                         letters[lang] += n
                         sure[lang] += conf * n
                 for lang, n in letters.items():
-                    for c, v in zip(cols, (doc, named, LANGUAGES[lang], n, round(sure[lang] / n, 6))):
+                    for c, v in zip(cols, (doc, text_hash, named, LANGUAGES[lang], n, round(sure[lang] / n, 6))):
                         c.append(v)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.float64()))],
-                names=["doc_id", "named", "lang", "letters", "confidence"],
+                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.float64()))],
+                names=["doc_id", "text_hash", "named", "lang", "letters", "confidence"],
             )
