@@ -217,7 +217,9 @@ def test_repeated_lines(spark):
 # ---- 4
 
 
-def test_near_duplicates_brute_force(spark):
+@pytest.mark.parametrize("long_run", [neardup.LONG_RUN, 2])
+def test_near_duplicates_brute_force(spark, long_run):
+    """Whatever the length of a run that is compared in blocks."""
     rng = random.Random(3)
     vocab = [f"слово{i}" for i in range(300)]
     texts = [[rng.choice(vocab) for _ in range(rng.randrange(15, 90))] for _ in range(60)]
@@ -232,8 +234,30 @@ def test_near_duplicates_brute_force(spark):
     sets = {c: set(zip(t.split(), t.split()[1:], t.split()[2:])) for c, t, *_ in rows if len(t.split()) >= 20}
     ids = sorted(sets)
     want = {(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if sets[a] and len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b])}
-    got = {tuple(r) for r in neardup.NearDuplicates(chunks(spark, rows + rows[:5] + AWKWARD)).chunk_pairs().collect()}
-    assert got == want and want
+    near = neardup.NearDuplicates(chunks(spark, rows + rows[:5] + AWKWARD), long_run=long_run)
+    assert {tuple(r) for r in near.chunk_pairs().collect()} == want and want
+    root = {i: i for i in ids}
+    for _ in ids:
+        for a, b in want:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r.chunk_id: r for r in near.groups().collect()}
+    assert {i: got[i].group_id for i in ids} == root
+    assert {i: got[i].class_id for i in ids} == {i: min(j for j in ids if sets[j] == sets[i]) for i in ids}
+
+
+def test_components_of_long_chains(spark):
+    rng = random.Random(8)
+    names = list(range(400))
+    rng.shuffle(names)
+    links = [(names[i], names[i + 1]) for i in range(399) if i % 57] + [(names[5], names[5]), (names[1], names[2])]
+    root = {x: x for a, b in links if a != b for x in (a, b)}
+    for _ in range(400):
+        for a, b in links:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    got = neardup.components(spark.createDataFrame(links, "a bigint, b bigint"), "test-stars").collect()
+    assert {r.node: r.root for r in got} == root and len(got) == len(root)
+    assert neardup.components(spark.createDataFrame([], "a bigint, b bigint"), "test-stars").count() == 0
 
 
 def test_near_duplicates_of_an_id_with_two_texts(spark):
@@ -283,6 +307,18 @@ def test_pairs_of_one_page_are_reported(spark, small):
     assert got == want and 1 in got.values()
 
 
+def test_cut_pages_and_stripes(spark, monkeypatch):
+    """Large pages in blocks and hot items in slots give the same counts."""
+    from corpusq.llm import cooccur
+
+    rng = random.Random(2)
+    rows = [("пласт", f"Ю-{rng.randrange(30)}", "X", "s", p % 9, "c", 0) for p in range(400)]
+    df = spark.createDataFrame(rows, "type string, name string, canonical string, source_file string, page int, chunk_id string, pos int")
+    want = {tuple(r) for r in co_occurrences(df).collect()}
+    monkeypatch.setattr(cooccur, "SLOT_PAGES", 3)
+    assert {tuple(r) for r in co_occurrences(df, page_items_most=4).collect()} == want and len(want) > 100
+
+
 # ---- 6
 
 
@@ -355,6 +391,14 @@ def test_leaks_at_the_limit(spark, spread):
     assert got == want
 
 
+def test_texts_of_one_item_in_two_blocks(spark):
+    words = {k: " ".join(f"{k}{i}" for i in range(14)) for k in "абвг"}
+    items = spark.createDataFrame([(1, words["а"]), (2, words["б"]), (2, words["в"]), (3, words["г"])], "item_id bigint, text string")
+    docs = spark.createDataFrame([(d, t) for d, t in enumerate(words.values())], "doc_id bigint, text string")
+    got = {tuple(r) for r in leak.leaked_items(docs, items, block=2).collect()}
+    assert got == {(0, 1), (1, 2), (2, 2), (3, 3)}
+
+
 # ---- 7
 
 
@@ -363,6 +407,15 @@ def test_weights_meet_limits():
     assert e == 1.0 and abs(w["a"] - 0.625) < 1e-9 and b == pytest.approx(320)
     w, b, e = mix.solve_weights({"a": 100, "b": 1000}, {"a": 0.5, "b": 0.5}, {"a": 2, "b": 1}, budget=800)
     assert 0 < e < 1 and w["a"] * b <= 200 * (1 + 1e-9) and sum(w.values()) == pytest.approx(1)
+    shares = {"a": 100, "b": 1000, "c": 10}
+    w, b, e = mix.solve_weights(shares, dict.fromkeys(shares, 0.0), {"a": 2, "b": 1, "c": 9}, entropy=0.9)
+    assert 0 < e < 1 and mix.entropy_of(w) == pytest.approx(0.9) and all(w[s] * b <= shares[s] * r * (1 + 1e-9) for s, r in (("a", 2), ("b", 1), ("c", 9)))
+
+
+def test_budget_binds_in_a_query(spark, small):
+    rows = queries.QUERIES["p7_budget_shares"](spark, small).collect()
+    assert all(0 < r.exponent < 1 and r.most <= r.max_repeats and r.taken <= r.source_tokens * r.max_repeats for r in rows)
+    assert all(0 < r.exponent < 1 for r in queries.QUERIES["p7_entropy_shares"](spark, small).collect())
 
 
 def test_mixture(spark):
@@ -407,6 +460,14 @@ def test_languages(spark, small):
     assert sum(a == b for a, b in docs.values()) >= 0.8 * len(docs)
 
 
+def test_languages_of_repeated_rows(spark, small):
+    d = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang").limit(60)
+    once, twice = langid.Languages(d), langid.Languages(d.unionByName(d))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(once.documents()) == rows(twice.documents())
+    assert rows(once.segments) == rows(twice.segments)
+
+
 def test_sentences_keep_asides():
     t = "Вес (англ. net pay) равен 3,5 т. Ещё строка\nи новая!"
     assert [re.sub(r"\s+", " ", t[b:e]).strip() for b, e in langid.sentences(t)] == ["Вес (англ. net pay) равен 3,5 т.", "Ещё строка", "и новая!"]
