@@ -3,20 +3,27 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable
+from typing import TypeVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _SHIPPED = "_corpusq_shipped"
+_STAGED: set[str] = set()
+_KEPT: dict[tuple, object] = {}
+T = TypeVar("T")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
-    A folder of our own is made only where none is set (tests, a single machine).
+    A folder of our own is made only where none is set and the session is of one machine; elsewhere it's an error,
+    as executors on other machines wouldn't see it.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
@@ -24,11 +31,25 @@ def shared_dir(spark: SparkSession) -> str:
         current = sc._jsc.sc().getCheckpointDir()
         named = current.get() if current.isDefined() else None
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="corpusq-shared-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+def staged_dir(spark: SparkSession) -> str:
+    """This application's folder of staged tables, removed when the driver ends."""
+    path = f"{shared_dir(spark)}/corpusq/{spark.sparkContext.applicationId}"
+    if path not in _STAGED:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(hadoop)
+        fs.deleteOnExit(hadoop)
+        _STAGED.add(path)
+    return path
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -36,11 +57,41 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     survives the loss of executors, as it lies in the shared folder.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corpusq/{name}-{uuid.uuid4().hex}"
+    path = f"{staged_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "lz4").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_staged(spark: SparkSession) -> None:
+    """Remove all staged tables now; what was derived from them can't be read any more."""
+    path = staged_dir(spark)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    _STAGED.discard(path)
+    for key in [k for k in _KEPT if k[0] == spark.sparkContext.applicationId]:
+        del _KEPT[key]
+
+
+def kept(spark: SparkSession, key: tuple, make: Callable[[], T]) -> T:
+    """What ``make`` gives, made once for an application: the collection and its index, as they are after ingestion."""
+    full = (spark.sparkContext.applicationId, *key)
+    if full not in _KEPT:
+        _KEPT[full] = make()
+    return _KEPT[full]
+
+
+def numbered(df: DataFrame, order: list, name: str, col: str = "place") -> DataFrame:
+    """``df`` with the place of each row in a total order, from 1, without a window over all rows: the rows are sorted by
+    range, numbered within their partition, and each partition starts after those before it."""
+    part = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()})
+    sorted_rows = stage(part, name)
+    here = Window.partitionBy("_part").orderBy("_row")
+    sizes = sorted_rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))  # as many rows as partitions
+    before = sizes.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before"))
+    out = sorted_rows.join(F.broadcast(before), "_part")
+    return out.withColumn(col, (F.col("_before") + F.row_number().over(here)).cast("int")).drop("_part", "_row", "_before")
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers that don't share our path."""
     sc = spark.sparkContext
