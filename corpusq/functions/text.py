@@ -13,11 +13,14 @@ SPACES = "[\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\
 TOKEN = "[а-яёa-z0-9]+"
 CITATION = "\\[[0-9a-f-]{8,}:[0-9]+\\]"
 VERB_ENDINGS = ("ться", "тся", "ются", "ется", "ваться", "иться", "аться", "ывать", "ивать", "овать")
+#: Fixed values.
 STOP_NAMES = (
-    "не на по при до из без над под про как так или что где все это тот те таких такой такие такое самой самого "
-    "чаще реже часто редко обычно полностью частично обнажались сравнительно последовало называется распределение "
-    "характеризуются отличаются условными возвышается"
-).split()
+    "не", "на", "по", "при", "до", "из", "без", "над", "под", "про",
+    "как", "так", "или", "что", "где", "все", "это", "тот", "те", "таких",
+    "такой", "такие", "такое", "самой", "самого", "чаще", "реже", "часто", "редко", "обычно",
+    "полностью", "частично", "обнажались", "сравнительно", "последовало", "называется", "распределение", "характеризуются", "отличаются", "условными",
+    "возвышается",
+)
 PROPER_TYPES = ("свита", "месторождение", "формация")
 CODE_TYPES = ("пласт", "горизонт", "скважина")
 #: What shows in a progress text that a step was done, by step.
@@ -83,7 +86,7 @@ def valid_entity_name(name: Column, kind: Column) -> Column:
     all_lower = (name == low) & (low != F.upper(name))
     return (
         F.length(name).between(2, 60)
-        & ~low.isin(STOP_NAMES)
+        & ~low.isin(*STOP_NAMES)
         & ~is_verb(name)
         & (~kind.isin(*PROPER_TYPES) | upper_first)
         & (~kind.isin(*CODE_TYPES) | (~(all_lower & (F.length(name) < 4)) & name.rlike("[А-ЯЁа-яёA-Za-z]")))

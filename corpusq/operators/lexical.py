@@ -13,6 +13,10 @@ from ..runtime import stage
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
+#: So many terms of questions (about 60 bytes each) may be sent to every task.
+QUESTION_TERMS = 200_000
+
+
 @dataclass
 class LexicalIndex:
     """postings(term, chunk_id, tf, dl), terms(term, df, idf), corpus(n, avgdl): one row. dl, the chunk's length,
@@ -24,18 +28,21 @@ class LexicalIndex:
 
 
 def build(chunks: DataFrame, id_col: str = "chunk_id", text: str = "text") -> LexicalIndex:
-    """The index of chunks with unique ids. Negative idf becomes EPSILON times the vocabulary's mean idf.
+    """The index of chunks with unique ids, written once. Negative idf becomes EPSILON times the vocabulary's mean idf.
 
-    The postings are written once, as terms and every search read them.
+    Texts are tokenised once. Postings are written in order of term, so that the scan of a search with few terms
+    skips the files and row groups that have none of them.
     """
     tokens = chunks.select(F.col(id_col).alias("chunk_id"), tokenize(F.col(text)).alias("t"))
-    lengths = tokens.select("chunk_id", F.size("t").alias("dl"))
-    each = tokens.select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    postings = stage(each.groupBy("term", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf")), "postings")
-    corpus = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    each = tokens.select("chunk_id", F.size("t").alias("dl"), F.explode_outer("t").alias("term"))
+    counted = stage(each.groupBy("term", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf")).repartitionByRange("term").sortWithinPartitions("term"), "postings")
+    postings = counted.filter("term is not null")
+    # a chunk without a token has the one row of a null term
+    first = counted.groupBy("chunk_id").agg(F.max("dl").alias("dl"))
+    corpus = stage(first.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")), "corpus")
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # corpus and mean are single rows
-    raw = df.join(F.broadcast(corpus)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    raw = stage(df.join(F.broadcast(corpus)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).select("term", "df", "raw"), "terms")
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
     terms = raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
     return LexicalIndex(postings, terms, corpus)
@@ -44,14 +51,17 @@ def build(chunks: DataFrame, id_col: str = "chunk_id", text: str = "text") -> Le
 def search(index: LexicalIndex, queries: DataFrame, k: int, where: DataFrame | None = None) -> DataFrame:
     """Best k chunks a query (query_id, text): query_id, chunk_id, score (4 places), rank.
 
-    Repeated query terms count again. Only positive scores; ties by chunk_id. ``where``: chunk_ids allowed,
-    applied before the ranking, while idf stays that of the whole corpus.
+    Repeated query terms count again. Only positive scores; ties by chunk_id. ``where``: (query_id, chunk_id) allowed
+    for each query that has a filter, applied before the ranking, while idf stays that of the whole corpus.
     """
     q = queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    # idf first: what meets the postings is no larger than the queries
-    hits = q.join(index.terms, "term").join(index.postings, "term")
+    q = stage(q.join(index.terms, "term"), "question-terms")
+    few = q.limit(QUESTION_TERMS + 1).count() <= QUESTION_TERMS
+    # checked: few terms go to the postings; otherwise both are exchanged by term
+    hits = index.postings.join(F.broadcast(q) if few else q, "term")
     if where is not None:
-        hits = hits.join(where, "chunk_id", "left_semi")
+        filtered = where.select("query_id").distinct()
+        hits = hits.join(filtered, "query_id", "left_anti").unionByName(hits.join(where, ["query_id", "chunk_id"], "left_semi").select(hits.columns))
     scored = hits.join(F.broadcast(index.corpus))  # a single row
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     total = scored.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 4).alias("score")).filter("score > 0")

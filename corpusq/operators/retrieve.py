@@ -34,26 +34,21 @@ def rrf_merge_as_written(first: DataFrame, second: DataFrame, k: int) -> DataFra
     return out.filter(F.col("place") <= k).select("query_id", "chunk_id", "list", "score", F.col("place").alias("rank"))
 
 
-def graph_retrieve(hits: DataFrame, chunks: DataFrame, pages: DataFrame, k: int = 7, most_pages: int = 6, each: int = 3) -> DataFrame:
-    """Graph-assisted hits of one query: up to ``each`` best chunks from the first pages by (source, page), each
-    text once, then the best others until k; ordered by score. ``hits``: all scored chunks (chunk_id, score)."""
-    first = pages.select("source_file", "page").distinct().orderBy("source_file", "page").limit(most_pages)
-    texts = chunks.select("chunk_id", "source_file", "page", "text")
-    scored = hits.join(texts, "chunk_id")
-    # at most most_pages rows are broadcast
-    on_page = scored.join(F.broadcast(first), ["source_file", "page"]).withColumn(
-        "r", F.row_number().over(Window.partitionBy("source_file", "page").orderBy(F.desc("score"), "chunk_id"))
-    )
-    near = on_page.filter(F.col("r") <= each).withColumn("d", F.row_number().over(Window.partitionBy("text").orderBy("source_file", "page", "r"))).filter("d = 1")
-    near = near.select("chunk_id", "score", "text", F.lit("graph").alias("via"))
-    # each text fills one place, so k texts beside those of the pages are enough
-    fill = scored.join(near.select("text"), "text", "left_anti").groupBy("text").agg(F.min_by(F.struct("chunk_id", "score"), F.struct(-F.col("score"), "chunk_id")).alias("x"))
-    fill = fill.select("x.chunk_id", "x.score", "text", F.lit("vector").alias("via")).orderBy(F.desc("score"), "chunk_id").limit(k)
-    order = near.withColumn("o", F.lit(0)).unionByName(fill.withColumn("o", F.lit(1)))
-    graph_n = Window.orderBy("o", F.desc("score"), "chunk_id")
-    kept = order.withColumn("taken", F.row_number().over(graph_n)).filter((F.col("o") == 0) | (F.col("taken") <= k))
-    final = ranked(kept.withColumn("query_id", F.lit(0)), k)
-    return final.select("chunk_id", "score", "via", "rank")
+def graph_retrieve(near: DataFrame, best: DataFrame, k: int = 7, each: int = 3) -> DataFrame:
+    """Graph-assisted hits: query_id, chunk_id, score, via, rank.
+
+    ``near``: scored chunks of each question's graph pages (query_id, p: the page's place, chunk_id, score, text), of
+    which the ``each`` best of a page are taken, each text once. ``best``: the question's best chunks of all (query_id,
+    chunk_id, score, rank, text), which fill the places up to k. All are ordered by score.
+    """
+    on_page = near.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "p").orderBy(F.desc("score"), "chunk_id"))).filter(F.col("r") <= each)
+    first = on_page.withColumn("d", F.row_number().over(Window.partitionBy("query_id", "text").orderBy("p", "r"))).filter("d = 1")
+    held = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("held"))
+    rest = best.join(first.select("query_id", "text"), ["query_id", "text"], "left_anti").join(held, "query_id")
+    once = rest.withColumn("d", F.row_number().over(Window.partitionBy("query_id", "text").orderBy("rank"))).filter("d = 1")
+    fill = once.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")) + F.col("held")).filter(F.col("place") <= k)
+    pick = lambda df, via: df.select("query_id", "chunk_id", "score", F.lit(via).alias("via"))
+    return ranked(pick(first, "graph").unionByName(pick(fill, "vector")), k)
 
 
 def keep_matching_or_all(df: DataFrame, match: Column, by: str | None = None) -> DataFrame:

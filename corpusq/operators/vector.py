@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -74,50 +74,51 @@ class HashingEmbedder:
         return out
 
 
+def _packed(id_col: str, v_col: str, rows: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Rows of vectors as blocks: ids, and unit vectors as the bytes of one matrix. Zero vectors are left out."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for at in range(0, len(pdf), rows):
+                part = pdf.iloc[at : at + rows].sort_values(id_col, kind="stable")
+                m = np.stack(part[v_col].to_numpy()).astype(np.float64)
+                norm = np.linalg.norm(m, axis=1)
+                keep = norm > 0
+                if keep.any():
+                    yield pd.DataFrame({"ids": [part[id_col].to_numpy()[keep].tolist()], "m": [(m[keep] / norm[keep, None]).tobytes()]})
+
+    return run
+
+
 def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2000) -> DataFrame:
     """Exact cosine top-k: vectors (chunk_id, v), queries (query_id, q) -> query_id, chunk_id, score, rank.
 
-    The queries are a stated set, sent to all tasks in blocks of ``block``; each Arrow batch of vectors is
-    one matrix product and keeps its k best a query, so at most k rows a query leave a batch. Scores have
-    4 places; ties by chunk_id. Zero or null vectors never match.
+    Both sides become blocks of ``block`` vectors, and each block of the stated queries meets each block of vectors in
+    one plan: one matrix product, of which at most k rows a query go on. Scores have 4 places; ties by chunk_id. Zero
+    or null vectors never match.
     """
-    asked = queries.filter("q is not null and query_id is not null").select("query_id", "q")
-    id_type = dict(vectors.dtypes)["chunk_id"]
-    q_type = dict(queries.dtypes)["query_id"]
-    schema = f"query_id {q_type}, chunk_id {id_type}, score double"
-    out, last = None, None
-    while True:  # the driver holds one block of queries at a time; query_id must be unique
-        part = (asked if last is None else asked.filter(F.col("query_id") > last)).orderBy("query_id").limit(block).collect()
-        if not part and out is not None:
-            break
-        last = part[-1][0] if part else None
-        ids = np.array([r[0] for r in part], dtype=object)
-        m = np.array([r[1] for r in part], dtype=np.float64).reshape(len(part), -1) if part else np.zeros((0, 1))
-        norm = np.linalg.norm(m, axis=1, keepdims=True)
-        m = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-        held = vectors.sparkSession.sparkContext.broadcast((ids, m))
-
-        def best(it: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            ids, m = held.value
-            for pdf in it:
-                if not len(pdf) or not len(ids):
-                    continue
-                pdf = pdf.sort_values("chunk_id", kind="stable")
-                e = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-                n = np.linalg.norm(e, axis=1, keepdims=True)
-                e = np.divide(e, n, out=np.zeros_like(e), where=n > 0)
-                s = m @ e.T
-                s[:, n[:, 0] == 0] = -np.inf
-                r = np.round(s, 4)
-                keep = np.argsort(-r, axis=1, kind="stable")[:, :k]
-                q = np.repeat(np.arange(len(ids)), keep.shape[1])
-                flat = keep.ravel()
-                score = s[q, flat]
-                ok = np.isfinite(score)
-                yield pd.DataFrame({"query_id": ids[q][ok], "chunk_id": pdf["chunk_id"].to_numpy()[flat][ok], "score": score[ok]})
-
-        got = vectors.filter("v is not null").select("chunk_id", "v").mapInPandas(best, schema)
-        out = got if out is None else out.unionByName(got)
-        if len(part) < block:
-            break
-    return ranked(out.withColumn("score", F.round("score", 4)), k)
+    id_type, q_type = dict(vectors.dtypes)["chunk_id"], dict(queries.dtypes)["query_id"]
+    left = queries.filter("q is not null and query_id is not null").select("query_id", "q").mapInPandas(_packed("query_id", "q", block), f"ids array<{q_type}>, m binary")
+    right = vectors.filter("v is not null and chunk_id is not null").select("chunk_id", "v").mapInPandas(_packed("chunk_id", "v", block), f"ids array<{id_type}>, m binary")
+    met = left.select(F.col("ids").alias("q_ids"), F.col("m").alias("q_m")).crossJoin(right)
+
+    def best(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for q_ids, q_m, ids, m in zip(pdf["q_ids"], pdf["q_m"], pdf["ids"], pdf["m"]):
+                q, e = np.frombuffer(q_m).reshape(len(q_ids), -1), np.frombuffer(m).reshape(len(ids), -1)
+                r = np.round(q @ e.T, 4)
+                least = np.partition(r, -k, axis=1)[:, -k] if k < r.shape[1] else np.full(len(r), -np.inf)
+                row, col = np.nonzero(r >= least[:, None])  # ids are sorted, so are the columns
+                order = np.lexsort((col, -r[row, col], row))
+                row, col = row[order], col[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                row, col = row[place < k], col[place < k]
+                yield pd.DataFrame({"query_id": np.asarray(q_ids, dtype=object)[row], "chunk_id": np.asarray(ids, dtype=object)[col], "score": r[row, col]})
+
+    return ranked(met.mapInPandas(best, f"query_id {q_type}, chunk_id {id_type}, score double").withColumn("score", F.round("score", 4)), k)
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine of two arrays of doubles, 4 places; null for a zero vector."""
+    dot = lambda x, y: F.reduce(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    return F.round(F.try_divide(F.try_divide(dot(a, b), F.sqrt(dot(a, a))), F.sqrt(dot(b, b))), 4)

@@ -8,15 +8,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import chunk, detect, graph, lexical, retrieve, store, vector
-from ..runtime import Query, table
-from ..sources import files
+from ..functions.abbreviations import ABBREVIATIONS
+from ..operators import ask, chunk, detect, graph, lexical, retrieve, store, vector
+from ..runtime import Query, kept, numbered, stage, staged_dir, table
+from ..sources import files, providers
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-#: A fixed question, and the modes and texts that stand for requests.
-QUESTION = "Пласт БС11 и Белоперевалское месторождение: что известно о скважина 453?"
+#: Fixed terms for the queries of the graph alone.
 TERMS = ["БС11", "Белоперевалское"]
 TOP_K = 7
 
@@ -36,21 +36,20 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _chunks(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "chunks").select("chunk_id", "chunk_no", "text", "page", "source_file", "document_id", "type", "image_path").distinct()
+    """The collection: repeated rows are dropped once for an application, as an ingestion does."""
+    made = lambda: stage(table(s, d, "chunks").select("chunk_id", "chunk_no", "text", "page", "source_file", "document_id", "type", "image_path").distinct(), "chunks")
+    return kept(s, ("chunks", d), made)
 
 
 def _mentions(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "entities").select("type", "name", "canonical", "source_file", "page", "chunk_id", "pos").distinct()
+    made = lambda: stage(table(s, d, "entities").select("type", "name", "canonical", "source_file", "page", "chunk_id", "pos").distinct(), "mentions")
+    return kept(s, ("mentions", d), made)
 
 
 def _questions(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-def _one_question(s: SparkSession) -> DataFrame:
-    return s.createDataFrame([(0, QUESTION)], "query_id bigint, text string")
-
-
 # ---- sources and store
 
 
@@ -79,7 +78,9 @@ def collection_get_all(s, d):
 
 @query(f"WITH {_C} SELECT count(*) AS n FROM c")
 def collection_count(s, d):
-    return _chunks(s, d).agg(F.count(F.lit(1)).alias("n"))
+    c = table(s, d, "chunks")
+    # repeated rows have equal hashes; no text is exchanged
+    return c.select("chunk_id", F.xxhash64(*c.columns).alias("row")).distinct().agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {_C}, gone AS (SELECT id FROM registry WHERE status <> 'indexed') SELECT chunk_id, page, source_file, document_id, type FROM c WHERE document_id NOT IN (SELECT id FROM gone) UNION ALL SELECT 'new_' || id || '_c0', 1, name, id, 'image' FROM registry WHERE status <> 'indexed' AND coalesce(text_chunks, 0) > 0")
@@ -103,9 +104,23 @@ def registry_latest(s, d):
     return store.latest_state(table(s, d, "registry_events"))
 
 
-@query()
+def _moments(embedded: DataFrame, id_col: str) -> DataFrame:
+    """The length of each vector and its coordinates' sum, weighted by their numbers, in units of the least one."""
+    each = embedded.select(id_col, F.size("embedding").alias("dim"), F.posexplode("embedding").alias("i", "f")).withColumn("x", F.col("f").cast("double"))
+    ratio = F.sum(F.col("x") * (F.col("i") + 1)) / F.min(F.when(F.col("x") > 0, F.col("x")))
+    return each.groupBy(id_col, "dim").agg(F.coalesce(F.floor(ratio + 0.23), F.lit(0)).alias("moment"))
+
+
+def _moments_sql(id_col: str, source: str) -> str:
+    return f"""t AS (SELECT {id_col}, unnest(regexp_extract_all(lower(coalesce(text, '')), '[а-яёa-z0-9]+')) AS x FROM {source}),
+b AS (SELECT {id_col}, ('0x' || substr(md5(x), 1, 8))::BIGINT % 64 AS i, count(*)::DOUBLE AS n FROM t GROUP BY ALL),
+v AS (SELECT {id_col}, floor(sum(n * (i + 1)) / min(n) + 0.23)::BIGINT AS moment FROM b GROUP BY 1)
+SELECT {id_col}, 64 AS dim, coalesce(moment, 0)::BIGINT AS moment FROM (SELECT DISTINCT {id_col} FROM {source}) LEFT JOIN v USING ({id_col})"""
+
+
+@query(f"WITH {_C}, {_moments_sql('chunk_id', 'c')}")
 def ingest_batch_embed(s, d):
-    return vector.embed_with(_chunks(s, d), "chunk_id", vector.HashingEmbedder())
+    return _moments(vector.embed_with(_chunks(s, d), "chunk_id", vector.HashingEmbedder()), "chunk_id")
 
 
 # ---- projections and predicates
@@ -154,7 +169,7 @@ def _ocr_raw(s: SparkSession, d: str) -> DataFrame:
     return c.select("chunk_id", "page", raw.alias("raw"))
 
 
-@query()
+@query(_OCR_SQL)
 def parse_ocr_sections(s, d):
     return _ocr_raw(s, d).select("chunk_id", tx.ocr_sections(F.col("raw")).alias("text"))
 
@@ -170,7 +185,16 @@ def tokenize(s, d):
     return table(s, d, "documents").select(F.explode(tx.tokenize(F.col("text"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+def _expanded_sql(col: str) -> str:
+    """The first occurrence of each abbreviation, longer ones first; what stands beside it is taken and given back."""
+    order = sorted(ABBREVIATIONS, key=lambda a: (-len(a), list(ABBREVIATIONS).index(a)))
+    for a in order:
+        quoted = lambda x: x.replace("'", "''")
+        col = f"regexp_replace({col}, '(^|[^А-ЯЁA-Zа-яёa-z0-9]){quoted(a)}($|[^А-ЯЁA-Zа-яёa-z0-9])', '\\1{quoted(a)} ({quoted(ABBREVIATIONS[a])})\\2')"
+    return col
+
+
+@query(f"SELECT item_id, {_expanded_sql('text')} AS text FROM benchmark")
 def expand_abbreviations(s, d):
     return table(s, d, "benchmark").select("item_id", tx.expand_abbreviations(F.col("text")).alias("text"))
 
@@ -319,6 +343,28 @@ def normalise_mode(s, d):
     return s.createDataFrame(_MODES, "mode string").select("mode", tx.normalise_mode(F.col("mode")).alias("used"))
 
 
+_EVENTS = ["ask", "start", "done", "fail"]
+
+
+@query("""WITH e AS (SELECT r.id, r.status, r.progress, r.error_msg, x.event FROM registry r, (VALUES ('ask'), ('start'), ('done'), ('fail')) x(event)),
+t AS (SELECT *, CASE event WHEN 'ask' THEN status <> 'indexing' WHEN 'start' THEN status = 'pending' ELSE status = 'indexing' END AS taken FROM e)
+SELECT id, event, CASE WHEN NOT taken THEN status WHEN event = 'ask' THEN 'pending' WHEN event = 'start' THEN 'indexing' WHEN event = 'done' THEN 'indexed' ELSE 'error' END AS status,
+CASE WHEN taken AND event = 'ask' THEN '' WHEN taken AND event = 'start' THEN 'Начало обработки…' WHEN taken AND event = 'done' THEN 'Индексация завершена' ELSE progress END AS progress,
+CASE WHEN taken AND event = 'ask' THEN '' WHEN taken AND event = 'fail' THEN repeat('x', 1000) ELSE error_msg END AS error_msg, taken FROM t""")
+def status_machine(s, d):
+    """Each document after each event."""
+    r = table(s, d, "registry")
+    events = r.select("id", F.explode(F.array(*map(F.lit, _EVENTS))).alias("event"), F.repeat(F.lit("x"), 2000).alias("message"))
+    return store.advance(r, events)
+
+
+@query("SELECT id, CASE WHEN total_pages > 0 THEN round(date_diff('microsecond', uploaded_at, indexed_at) / 1e6 / total_pages * 461 / 60) END AS minutes FROM registry WHERE indexed_at IS NOT NULL")
+def vlm_forecast(s, d):
+    """Minutes for a book of 461 pages at each document's pace."""
+    seconds = (F.unix_micros(F.col("indexed_at").cast("timestamp")) - F.unix_micros(F.col("uploaded_at").cast("timestamp"))) / 1e6
+    return table(s, d, "registry").filter("indexed_at is not null").select("id", F.when(F.col("total_pages") > 0, providers.forecast(seconds, F.col("total_pages"))).alias("minutes"))
+
+
 @query("SELECT id, status, CASE WHEN status = 'indexing' THEN 'rejected' ELSE 'indexing' END AS next FROM registry")
 def status_transition(s, d):
     return table(s, d, "registry").select("id", "status", store.can_index(F.col("status")).alias("next"))
@@ -366,7 +412,8 @@ len AS (SELECT chunk_id, len(t) AS dl FROM tok), corpus AS (SELECT count(*) AS n
 post AS (SELECT term, chunk_id, count(*) AS tf FROM (SELECT chunk_id, unnest(t) AS term FROM tok) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM post GROUP BY 1), raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM df, corpus),
 term AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw)"""
-_LEX = """q AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[а-яёa-z0-9]+')) AS term FROM benchmark) GROUP BY ALL),
+_LEX = f"""bx AS (SELECT item_id, {_expanded_sql('text')} AS text FROM benchmark WHERE length(trim(text)) > 0),
+q AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[а-яёa-z0-9]+')) AS term FROM bx) GROUP BY ALL),
 ls AS (SELECT query_id, chunk_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 4) AS score FROM q JOIN term USING (term) JOIN post USING (term) JOIN len USING (chunk_id), corpus GROUP BY ALL),
 lex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM ls WHERE score > 0)"""
 _VEC = """b AS (SELECT chunk_id, ('0x' || substr(md5(x), 1, 8))::BIGINT % 64 AS bucket, count(*)::DOUBLE AS x FROM (SELECT chunk_id, unnest(t) AS x FROM tok) GROUP BY ALL), bn AS (SELECT chunk_id, sqrt(sum(x * x)) AS nn FROM b GROUP BY 1),
@@ -377,25 +424,34 @@ _RRF = """j AS (SELECT query_id, chunk_id, min(r1) AS r1, min(r2) AS r2, round(c
 fused AS (SELECT query_id, chunk_id, round(rrf / max(rrf) OVER (PARTITION BY query_id), 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, coalesce(r1, 1073741824), coalesce(r2, 1073741824), chunk_id) AS rank FROM j)"""
 
 
-def _index(s: SparkSession, d: str) -> lexical.LexicalIndex:
-    return lexical.build(_chunks(s, d).filter("text is not null"))
+def _library(s: SparkSession, d: str) -> ask.Library:
+    """The collection with its vectors, index and graph, made once for an application."""
 
+    def made() -> ask.Library:
+        c = _chunks(s, d).filter("text is not null")
+        vectors = stage(vector.dense(vector.hashed_counts(c, "chunk_id"), "chunk_id"), "vectors")
+        m = _mentions(s, d)
+        own = graph.Graph(m, *(stage(x, "graph") for x in (graph.nodes(m), graph.edges(m), graph.locations(m))))
+        return ask.Library(c, vectors, lexical.build(c), own)
+
+    return kept(s, ("library", d), made)
 
-def _lexical(s: SparkSession, d: str, k: int = TOP_K) -> DataFrame:
-    return lexical.search(_index(s, d), _questions(s, d), k)
 
+def _asked(s: SparkSession, d: str) -> DataFrame:
+    return ask.accepted(_questions(s, d))
 
-def _vectors(s: SparkSession, d: str) -> DataFrame:
-    return vector.dense(vector.hashed_counts(_chunks(s, d), "chunk_id"), "chunk_id")
+
+def _lexical(s: SparkSession, d: str, k: int = TOP_K) -> DataFrame:
+    return ask.lexical_hits(_library(s, d), _asked(s, d), k)
 
 
 def _semantic(s: SparkSession, d: str, k: int = TOP_K) -> DataFrame:
-    return vector.cosine_topk(_vectors(s, d), vector.dense(vector.hashed_counts(_questions(s, d), "query_id"), "query_id", "q"), k)
+    return ask.vector_hits(_library(s, d), _asked(s, d), k)
 
 
 @query(f"WITH {_BM25} SELECT term, df, round(idf, 6) AS idf FROM term")
 def bm25_build(s, d):
-    return _index(s, d).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    return lexical.build(_chunks(s, d).filter("text is not null")).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {_BM25}, {_LEX} SELECT query_id, chunk_id, score, rank::INT AS rank FROM lex WHERE rank <= 7")
@@ -431,9 +487,10 @@ def vector_topk_filtered(s, d):
     return vector.cosine_topk(v.filter("label = 3"), q, TOP_K)
 
 
-@query()
+@query(f"WITH qs AS (SELECT item_id AS query_id, {_expanded_sql('text')} AS text FROM benchmark), {_moments_sql('query_id', 'qs')}")
 def embed_query(s, d):
-    return vector.embed_with(_questions(s, d), "query_id", vector.HashingEmbedder(), "query")
+    asked = _asked(s, d).select("query_id", F.col("asked").alias("text"))
+    return _moments(vector.embed_with(asked, "query_id", vector.HashingEmbedder(), "query"), "query_id")
 
 
 @query(f"WITH {_BM25}, {_LEX}, {_VEC}, {_RRF} SELECT query_id, chunk_id, score, rank::INT AS rank FROM fused WHERE rank <= 7")
@@ -441,7 +498,7 @@ def retrieve_hybrid(s, d):
     return retrieve.rrf_merge(_semantic(s, d), _lexical(s, d), TOP_K)
 
 
-@query("WITH v AS (SELECT doc_id::VARCHAR AS chunk_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r1 FROM documents), l AS (SELECT doc_id::VARCHAR AS chunk_id, row_number() OVER (ORDER BY title DESC NULLS LAST, doc_id) AS r2 FROM documents), j AS (SELECT chunk_id, r1, r2, round(1.0::DOUBLE / (60 + r1) + 1.0::DOUBLE / (60 + r2), 12) AS rrf FROM v JOIN l USING (chunk_id)) SELECT 0 AS query_id, chunk_id, round(rrf / max(rrf) OVER (), 4) AS score, (row_number() OVER (ORDER BY rrf DESC, r1, r2, chunk_id))::INT AS rank FROM j QUALIFY rank <= 50")
+@query("WITH v AS (SELECT doc_id::VARCHAR AS chunk_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r1 FROM documents QUALIFY row_number() OVER (ORDER BY n_chars DESC, doc_id) <= 200), l AS (SELECT doc_id::VARCHAR AS chunk_id, row_number() OVER (ORDER BY title DESC NULLS LAST, doc_id) AS r2 FROM documents QUALIFY row_number() OVER (ORDER BY title DESC NULLS LAST, doc_id) <= 200), j AS (SELECT chunk_id, r1, r2, round(coalesce(1.0::DOUBLE / (60 + r1), 0) + coalesce(1.0::DOUBLE / (60 + r2), 0), 12) AS rrf FROM v FULL JOIN l USING (chunk_id)) SELECT 0 AS query_id, chunk_id, round(rrf / max(rrf) OVER (), 4) AS score, (row_number() OVER (ORDER BY rrf DESC, r1, r2, chunk_id))::INT AS rank FROM j QUALIFY rank <= 50")
 def rrf_merge(s, d):
     a, b = _two_lists(s, d)
     return retrieve.rrf_merge(a, b, 50)
@@ -449,11 +506,12 @@ def rrf_merge(s, d):
 
 def _two_lists(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = table(s, d, "documents").select(F.lit(0).alias("query_id"), F.col("doc_id").cast("string").alias("chunk_id"), "doc_id", "n_chars", "title")
-    one = lambda *o: docs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*o)))
+    # two ranked lists of 200 hits each
+    one = lambda *o: docs.orderBy(*o).limit(200).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*o)))
     return one(F.desc("n_chars"), "doc_id"), one(F.desc_nulls_last("title"), "doc_id")
 
 
-@query("WITH v AS (SELECT doc_id::VARCHAR AS chunk_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank, 0 AS list FROM documents UNION ALL SELECT doc_id::VARCHAR, row_number() OVER (ORDER BY title DESC NULLS LAST, doc_id), 1 FROM documents) SELECT 0 AS query_id, chunk_id, list, round(61.0::DOUBLE / (60 + rank), 4) AS score, (row_number() OVER (ORDER BY rank, list))::INT AS rank FROM v QUALIFY row_number() OVER (ORDER BY v.rank, list) <= 50")
+@query("WITH v AS (SELECT doc_id::VARCHAR AS chunk_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank, 0 AS list FROM documents QUALIFY rank <= 200 UNION ALL SELECT doc_id::VARCHAR, row_number() OVER (ORDER BY title DESC NULLS LAST, doc_id) AS rank, 1 FROM documents QUALIFY rank <= 200) SELECT 0 AS query_id, chunk_id, list, round(61.0::DOUBLE / (60 + rank), 4) AS score, (row_number() OVER (ORDER BY rank, list))::INT AS rank FROM v QUALIFY row_number() OVER (ORDER BY v.rank, list) <= 50")
 def rrf_merge_compat(s, d):
     a, b = _two_lists(s, d)
     return retrieve.rrf_merge_as_written(a, b, 50)
@@ -472,41 +530,76 @@ def _graph(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return m, graph.nodes(m), graph.edges(m)
 
 
-def _graph_hits(s: SparkSession, d: str) -> DataFrame:
-    m, n, _ = _graph(s, d)
-    pages = graph.pages_of(m, graph.matching(n, _terms(s)))
-    q = vector.dense(vector.hashed_counts(_one_question(s), "query_id"), "query_id", "q")
-    qv = q.collect()[0][1]  # one query
-    dot = F.reduce(F.zip_with("v", F.array(*map(F.lit, qv)), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    norm = F.sqrt(F.reduce("v", F.lit(0.0), lambda a, x: a + x * x))
-    qn = sum(x * x for x in qv) ** 0.5
-    hits = _vectors(s, d).select("chunk_id", F.round(dot / norm / qn, 4).alias("score"))
-    return retrieve.graph_retrieve(hits, _chunks(s, d), pages)
-
-
-_QV = f"""qx AS (SELECT ('0x' || substr(md5(x), 1, 8))::BIGINT % 64 AS bucket, count(*)::DOUBLE AS y FROM (SELECT unnest(regexp_extract_all(lower('{QUESTION}'), '[а-яёa-z0-9]+')) AS x) GROUP BY 1),
-tok AS (SELECT chunk_id, regexp_extract_all(lower(text), '[а-яёa-z0-9]+') AS t FROM c), bk AS (SELECT chunk_id, ('0x' || substr(md5(x), 1, 8))::BIGINT % 64 AS bucket, count(*)::DOUBLE AS x FROM (SELECT chunk_id, unnest(t) AS x FROM tok) GROUP BY ALL),
-sc AS (SELECT chunk_id, round(sum(x * coalesce(y, 0)) / sqrt(sum(x * x)) / (SELECT sqrt(sum(y * y)) FROM qx), 4) AS score FROM bk LEFT JOIN qx USING (bucket) GROUP BY 1),
-s AS (SELECT chunk_id, score, text, source_file, page FROM sc JOIN c USING (chunk_id)), f6 AS (SELECT * FROM gp ORDER BY source_file, page LIMIT 6),
-nr AS (SELECT s.*, row_number() OVER (PARTITION BY source_file, page ORDER BY score DESC, chunk_id) AS r FROM s JOIN f6 USING (source_file, page)),
-nd AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY source_file, page, r) AS d FROM nr WHERE r <= 3), near AS (SELECT chunk_id, score, text FROM nd WHERE d = 1),
-ft AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY score DESC, chunk_id) AS d FROM s WHERE text NOT IN (SELECT text FROM near)), fil AS (SELECT chunk_id, score FROM ft WHERE d = 1 ORDER BY score DESC, chunk_id LIMIT 7),
-u AS (SELECT chunk_id, score, 'graph' AS via, 0 AS o FROM near UNION ALL SELECT chunk_id, score, 'vector', 1 FROM fil), tk AS (SELECT *, row_number() OVER (ORDER BY o, score DESC, chunk_id) AS taken FROM u),
-gr AS (SELECT chunk_id, score, via, (row_number() OVER (ORDER BY score DESC, chunk_id))::INT AS rank FROM tk WHERE o = 0 OR taken <= 7 QUALIFY row_number() OVER (ORDER BY score DESC, chunk_id) <= 7)"""
-_GRAPHRAG = f"{_C}, {_NODES}, {_GQ}, {_MATCH}, {_GP}, {_QV}"
-
-
-@query(f"WITH {_GRAPHRAG} SELECT * FROM gr")
+_VERB = f"regexp_matches(lower({{0}}), '({_VERBS})$')"
+_VALID = SQL["valid_entity_name"].split("SELECT type, name, ", 1)[1].rsplit(" AS valid FROM", 1)[0]
+
+
+def _entities_of(source: str, key: str) -> str:
+    """CTE ents(key, type, name, canonical, ord) of the texts of ``source``."""
+    parts = " UNION ALL ".join(
+        f"SELECT {key}, '{t}' AS type, {p} AS p, unnest(regexp_extract_all(text, '(?i){r}', 1)) AS raw, generate_subscripts(regexp_extract_all(text, '(?i){r}', 1), 1) - 1 AS i FROM {source}" for p, (t, r) in enumerate(graph.PATTERNS)
+    )
+    return f"""er AS ({parts}), ev AS (SELECT {key}, type, trim(raw) AS name, p, i FROM er), ek AS (SELECT *, row_number() OVER (PARTITION BY {key}, type, upper(name) ORDER BY p, i, name) AS o FROM ev WHERE {_VALID}),
+ents AS (SELECT {key}, type, name, upper(type) || '_' || regexp_replace(upper(regexp_replace(name, '[.\\-]+$', '')), '[^А-ЯЁA-Z0-9]', '_', 'g') AS canonical, (p * 1000000 + i)::BIGINT AS ord FROM ek WHERE o = 1)"""
+
+
+_QT = f"""qs0 AS (SELECT item_id AS query_id, text FROM benchmark), {_entities_of('qs0', 'query_id')},
+qn0 AS (SELECT query_id, name AS term FROM ents WHERE NOT {_VERB.format('name')} AND length(name) > 2),
+qc AS (SELECT query_id, unnest(regexp_extract_all(text, '{graph.CAPITALISED}', 1)) AS term, unnest(regexp_extract_all(text, '{graph.CAPITALISED}', 2)) AS nxt, generate_subscripts(regexp_extract_all(text, '{graph.CAPITALISED}', 1), 1) AS i FROM qs0),
+q1 AS (SELECT *, row_number() OVER (PARTITION BY query_id, substr(lower(term), 1, 6) ORDER BY i) AS r FROM qc WHERE nxt = '' AND NOT {_VERB.format('term')}),
+qt AS (SELECT query_id, term FROM qn0 UNION ALL SELECT query_id, term FROM q1 WHERE r = 1 AND NOT EXISTS (SELECT 1 FROM qn0 x WHERE x.query_id = q1.query_id AND substr(lower(x.term), 1, 6) = substr(lower(q1.term), 1, 6)))"""
+_GRAPHED = f"""{_BM25}, {_LEX}, {_VEC}, {_NODES}, {_QT},
+mq AS (SELECT DISTINCT query_id, canonical FROM n, qt WHERE contains(lower(name), lower(term)) OR contains(lower(term), lower(name)) OR (least(length(name), length(term)) >= 5 AND substr(lower(name), 1, 6) = substr(lower(term), 1, 6))),
+g6 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY source_file, page) AS p FROM (SELECT DISTINCT query_id, source_file, page FROM m JOIN mq USING (canonical) WHERE page IS NOT NULL AND source_file IS NOT NULL) QUALIFY p <= 6),
+nr AS (SELECT g6.query_id, va.chunk_id, va.score, text, p, row_number() OVER (PARTITION BY g6.query_id, p ORDER BY va.score DESC, va.chunk_id) AS r FROM g6 JOIN c USING (source_file, page) JOIN va ON va.query_id = g6.query_id AND va.chunk_id = c.chunk_id WHERE va.score > 0),
+near AS (SELECT * FROM nr WHERE r <= 3 QUALIFY row_number() OVER (PARTITION BY query_id, text ORDER BY p, r) = 1),
+nh AS (SELECT query_id, count(*) AS held FROM near GROUP BY 1),
+ft AS (SELECT vec.query_id, chunk_id, score, rank, held FROM vec JOIN c USING (chunk_id) JOIN nh USING (query_id) WHERE rank <= 7 AND NOT EXISTS (SELECT 1 FROM near x WHERE x.query_id = vec.query_id AND x.text = c.text) QUALIFY row_number() OVER (PARTITION BY vec.query_id, text ORDER BY rank) = 1),
+fi AS (SELECT * FROM ft QUALIFY held + row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 7),
+gu AS (SELECT query_id, chunk_id, score, 'graph' AS via FROM near UNION ALL SELECT query_id, chunk_id, score, 'vector' FROM fi),
+gr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM gu QUALIFY rank <= 7)"""
+#: Requests: the mode goes round by item, and every fourth asks one source only.
+_SOURCE = "(SELECT min(source_file) FROM c WHERE text IS NOT NULL)"
+_MODES_SQL = f"""{_GRAPHED}, qs AS (SELECT item_id AS query_id, CASE item_id % 3 WHEN 0 THEN 'rag' WHEN 1 THEN 'hybrid' ELSE 'graphrag' END AS mode, CASE WHEN item_id % 4 = 1 THEN {_SOURCE} END AS src FROM benchmark),
+pl AS (SELECT query_id, mode, CASE WHEN mode <> 'graphrag' THEN src END AS f FROM qs WHERE mode <> 'graphrag' OR query_id NOT IN (SELECT query_id FROM g6)),
+vf AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM va JOIN pl USING (query_id) JOIN c USING (chunk_id) WHERE f IS NULL OR source_file = f QUALIFY rank <= 7),
+lf AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM ls JOIN pl USING (query_id) JOIN c USING (chunk_id) WHERE score > 0 AND (f IS NULL OR source_file = f) QUALIFY rank <= 7),
+mj AS (SELECT query_id, chunk_id, min(r1) AS r1, min(r2) AS r2, round(coalesce(1.0::DOUBLE / (60 + min(r1)), 0) + coalesce(1.0::DOUBLE / (60 + min(r2)), 0), 12) AS rrf FROM (SELECT query_id, chunk_id, rank AS r1, NULL::BIGINT AS r2 FROM vf UNION ALL SELECT query_id, chunk_id, NULL, rank FROM lf) JOIN pl USING (query_id) WHERE mode <> 'rag' GROUP BY ALL),
+mf AS (SELECT query_id, chunk_id, round(rrf / max(rrf) OVER (PARTITION BY query_id), 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, coalesce(r1, 1073741824), coalesce(r2, 1073741824), chunk_id) AS rank FROM mj QUALIFY rank <= 7),
+gm AS (SELECT gr.*, src IS NULL OR source_file = src AS ok FROM gr JOIN qs USING (query_id) JOIN c USING (chunk_id) WHERE mode = 'graphrag'),
+gk AS (SELECT *, max(ok) OVER (PARTITION BY query_id) AS any_ok FROM gm),
+hits AS (SELECT query_id, chunk_id, score, via, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM gk WHERE ok OR NOT any_ok
+UNION ALL SELECT query_id, chunk_id, score, 'vector', rank::INT FROM vf JOIN pl USING (query_id) WHERE mode = 'rag' UNION ALL SELECT query_id, chunk_id, score, 'fused', rank::INT FROM mf)"""
+
+
+def _requests(s: SparkSession, d: str) -> DataFrame:
+    source = _library(s, d).chunks.agg(F.min("source_file").alias("one"))  # a single row
+    m, f = F.col("query_id") % 3, F.col("query_id") % 4 == 1
+    mode = F.when(m == 0, "rag").when(m == 1, "hybrid").otherwise("graphrag")
+    return _questions(s, d).join(F.broadcast(source)).select("query_id", "text", mode.alias("mode"), F.lit(None).cast("string").alias("document_id"), F.when(f, F.col("one")).alias("source_file"))
+
+
+@query(f"WITH {_MODES_SQL} SELECT query_id, mode, chunk_id, score, via, rank FROM hits JOIN qs USING (query_id)")
+def retrieve_mode(s, d):
+    return ask.retrieve_by_mode(_library(s, d), _requests(s, d))
+
+
+@query(f"WITH {_GRAPHED} SELECT query_id, chunk_id, score, via, rank::INT AS rank FROM gr")
 def graphrag_retrieve(s, d):
-    return _graph_hits(s, d)
+    """All questions that have graph pages; the others fall back to hybrid (retrieve_mode)."""
+    hits, _, _ = ask.graph_hits(_library(s, d), _asked(s, d), TOP_K)
+    return hits.select("query_id", "chunk_id", "score", "via", "rank")
+
 
+_TRACED = f"""{_GRAPHED}, {_RRF}, th AS (SELECT query_id, chunk_id, via, rank FROM gr UNION ALL SELECT query_id, chunk_id, 'fused', rank FROM fused WHERE rank <= 7 AND query_id NOT IN (SELECT query_id FROM g6)),
+tc AS (SELECT query_id, count(*) FILTER (WHERE via = 'graph') AS chunks_from_graph, count(*) FILTER (WHERE via <> 'graph') AS chunks_from_vector, count(*) AS total_chunks, string_agg('[' || document_id || ':' || coalesce(page, 0) || ']' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM th JOIN c USING (chunk_id) GROUP BY 1),
+ta AS (SELECT query_id, chunks_from_graph, chunks_from_vector, total_chunks, len(regexp_extract_all(concat_ws(chr(10), '**Запрос:**', b.text, '---', '**Найденные отрывки:**', CASE WHEN length(context) > 3000 THEN substr(context, 1, 3000) || '…' ELSE context END), '\\[[0-9a-f-]{{8,}}:[0-9]+\\]'))::BIGINT AS citations FROM tc JOIN benchmark b ON item_id = query_id),
+tt AS (SELECT query_id, string_agg(term, '|' ORDER BY term) AS terms FROM qt GROUP BY 1), tp AS (SELECT query_id, string_agg(x, '|' ORDER BY x) AS pages FROM (SELECT query_id, right(replace(replace(source_file, '.pdf', ''), '.img', ''), 28) || ':' || page AS x FROM g6) GROUP BY 1)"""
 
-@query(f"WITH {_GRAPHRAG} SELECT count(*) FILTER (WHERE via = 'graph') AS chunks_from_graph, count(*) FILTER (WHERE via = 'vector') AS chunks_from_vector, count(*) AS total_chunks, (SELECT count(*) FROM f6) AS pages FROM gr")
+
+@query(f"WITH {_TRACED} SELECT query_id, coalesce(terms, '') AS terms, coalesce(pages, '') AS pages, chunks_from_graph, chunks_from_vector, total_chunks, citations FROM ta LEFT JOIN tt USING (query_id) LEFT JOIN tp USING (query_id)")
 def graph_trace(s, d):
-    m, n, _ = _graph(s, d)
-    pages = graph.pages_of(m, graph.matching(n, _terms(s))).orderBy("source_file", "page").limit(6).agg(F.count(F.lit(1)).alias("pages"))
-    got = _graph_hits(s, d).agg(F.count_if(F.col("via") == "graph").alias("chunks_from_graph"), F.count_if(F.col("via") == "vector").alias("chunks_from_vector"), F.count(F.lit(1)).alias("total_chunks"))
-    return got.join(F.broadcast(pages))  # two single rows
+    return ask.trace(_library(s, d), _questions(s, d))
 
 
 @query(f"WITH {_BM25}, {_LEX} SELECT DISTINCT query_id, source_file, page FROM lex JOIN c USING (chunk_id) WHERE rank <= 7")
@@ -536,12 +629,25 @@ def raw_context_fallback(s, d):
     return format_context(s, d).join(_questions(s, d), "query_id").select("query_id", retrieve.offline_answer(F.col("text"), F.col("context")).alias("answer"))
 
 
-@query(f"WITH {_BM25}, {_LEX}, {_CONTEXT}, h AS (SELECT query_id, count(*) AS chunks, count(DISTINCT (source_file, page)) AS sources, count(DISTINCT image_path) FILTER (WHERE image_path <> '') AS images FROM lex JOIN c USING (chunk_id) WHERE rank <= 7 GROUP BY 1) SELECT query_id, 'rag' AS mode, {_OFFLINE} AS answer, chunks, sources, images FROM ctx JOIN benchmark q2 ON item_id = query_id JOIN h USING (query_id)")
+_ANSWERED = f"""{_MODES_SQL}, hx AS (SELECT query_id, count(*) AS chunks, count(DISTINCT (source_file, page)) AS sources, count(DISTINCT image_path) FILTER (WHERE image_path <> '') AS images, string_agg('[' || document_id || ':' || coalesce(page, 0) || ']' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM hits JOIN c USING (chunk_id) GROUP BY 1),
+an AS (SELECT query_id, mode, CASE WHEN context IS NULL THEN '{ask.NOTHING_FOUND}' ELSE {_OFFLINE} END AS answer, coalesce(chunks, 0) AS chunks, coalesce(sources, 0) AS sources, coalesce(images, 0) AS images FROM qs JOIN benchmark q2 ON item_id = query_id LEFT JOIN hx USING (query_id))"""
+
+
+@query(f"WITH {_ANSWERED} SELECT * FROM an")
 def answer_bundle(s, d):
-    hits = _lexical(s, d).join(_chunks(s, d), "chunk_id")
-    n = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("chunks"), F.size(F.collect_set(F.struct("source_file", "page"))).cast("bigint").alias("sources"), F.count_distinct(F.when(F.length("image_path") > 0, F.col("image_path"))).alias("images"))
-    answer = retrieve.offline_answer(F.col("text"), F.col("context")).alias("answer")
-    return retrieve.format_context(hits).join(_questions(s, d), "query_id").join(n, "query_id").select("query_id", F.lit("rag").alias("mode"), answer, "chunks", "sources", "images")
+    """Requests in all three modes, with and without a filter."""
+    q = _requests(s, d)
+    return ask.answers(_library(s, d), q, ask.retrieve_by_mode(_library(s, d), q))
+
+
+@query(f"""WITH {_ANSWERED}, cs AS (SELECT DISTINCT query_id, document_id, page FROM (SELECT query_id, unnest(regexp_extract_all(answer, '\\[([0-9a-f-]{{8,}}):([0-9]+)\\]', 1)) AS document_id, unnest(regexp_extract_all(answer, '\\[([0-9a-f-]{{8,}}):([0-9]+)\\]', 2))::INT AS page FROM an)),
+fh AS (SELECT query_id, chunk_id, document_id, page, image_path FROM hits JOIN c USING (chunk_id) QUALIFY row_number() OVER (PARTITION BY query_id, document_id, page ORDER BY rank) = 1)
+SELECT query_id, document_id, page, chunk_id, image_path FROM cs LEFT JOIN fh USING (query_id, document_id, page)""")
+def cited_chunks(s, d):
+    """Each citation of an answer with the first of its hits that it can mean."""
+    q, lib = _requests(s, d), _library(s, d)
+    hits = stage(ask.retrieve_by_mode(lib, q), "hits")
+    return ask.cited_chunks(lib, ask.answers(lib, q, hits), hits)
 
 
 @query(f"WITH {_BM25}, {_LEX}, {_VEC}, tm AS (SELECT DISTINCT item_id AS query_id, lower(list_filter(regexp_split_to_array(text, '{_WS}+'), lambda x: x <> '')[1]) AS term FROM benchmark) SELECT vec.query_id, score, contains(lower(c.text), term) AS found, CASE WHEN score >= 0.5 AND contains(lower(c.text), term) THEN 'ok' WHEN score >= 0.5 OR contains(lower(c.text), term) THEN 'partly' ELSE 'no' END AS status FROM vec JOIN c USING (chunk_id) JOIN tm ON tm.query_id = vec.query_id WHERE rank = 1")
@@ -555,15 +661,7 @@ def retrieval_eval(s, d):
 # ---- entities and graph
 
 
-def _entities_sql() -> str:
-    parts = " UNION ALL ".join(
-        f"SELECT chunk_id, text, '{t}' AS type, {p} AS p, unnest(regexp_extract_all(text, '(?i){r}', 1)) AS raw, generate_subscripts(regexp_extract_all(text, '(?i){r}', 1), 1) - 1 AS i FROM c" for p, (t, r) in enumerate(graph.PATTERNS)
-    )
-    valid = SQL["valid_entity_name"].split("SELECT type, name, ", 1)[1].rsplit(" AS valid FROM", 1)[0]
-    return f"WITH {_C}, r AS ({parts}), v AS (SELECT chunk_id, type, trim(raw) AS name, p, i FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY chunk_id, type, upper(name) ORDER BY p, i, name) AS o FROM v WHERE {valid}) SELECT chunk_id, type, name, upper(type) || '_' || regexp_replace(upper(regexp_replace(name, '[.\\-]+$', '')), '[^А-ЯЁA-Z0-9]', '_', 'g') AS canonical, (p * 1000000 + i)::BIGINT AS ord FROM k WHERE o = 1"
-
-
-@query(_entities_sql())
+@query(f"WITH {_C}, {_entities_of('c', 'chunk_id')} SELECT * FROM ents")
 def extract_entities(s, d):
     return graph.extract_entities(_chunks(s, d).select("chunk_id", "text"), ["chunk_id"])
 
@@ -575,12 +673,12 @@ def page_entities(s, d):
 
 @query(f"WITH {_NODES} SELECT canonical, n.type, n.name, (SELECT count(DISTINCT source_file) FROM m WHERE m.canonical = n.canonical) AS sources, (SELECT count(DISTINCT page) FROM m WHERE m.canonical = n.canonical) AS pages FROM n")
 def graph_nodes(s, d):
-    return graph.nodes(_mentions(s, d)).select("canonical", "type", "name", F.size("sources").cast("bigint").alias("sources"), F.size("pages").cast("bigint").alias("pages"))
+    return graph.nodes(_mentions(s, d))
 
 
 @query(f"WITH {_M}, {_EDGES} SELECT * FROM e")
 def graph_edges(s, d):
-    e = graph.edges(_mentions(s, d))
+    e = graph.edges(_mentions(s, d)).drop("relation")
     return e.withColumns({"sources": F.size("sources").cast("bigint"), "pages": F.size("pages").cast("bigint")})
 
 
@@ -608,6 +706,33 @@ def graph_neighborhood(s, d):
     return graph.neighbourhood(n, e, _terms(s))
 
 
+_NEAR = f"""{_NODES}, {_EDGES}, {_BOTH}, {_GQ}, {_MATCH}, nb AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS r FROM bw WHERE src IN (SELECT canonical FROM mt)),
+hp AS (SELECT DISTINCT dst AS canonical FROM nb WHERE r <= 8 AND dst NOT IN (SELECT canonical FROM mt)), nn AS (SELECT canonical, hop1 FROM (SELECT canonical, false AS hop1 FROM mt UNION ALL SELECT canonical, true FROM hp) ORDER BY hop1, canonical LIMIT 30)"""
+
+
+@query(f"WITH {_NEAR} SELECT src, dst, 'co-occurrence' AS relation, weight, src IN (SELECT canonical FROM mt) OR dst IN (SELECT canonical FROM mt) AS is_seed_edge FROM e WHERE src IN (SELECT canonical FROM nn) AND dst IN (SELECT canonical FROM nn)")
+def graph_neighborhood_edges(s, d):
+    _, n, e = _graph(s, d)
+    return graph.neighbourhood_edges(stage(graph.neighbourhood(n, e, _terms(s)), "near"), e)
+
+
+@query(f"WITH {_NEAR}, {_GP} SELECT (SELECT count(*) FROM mt) AS seeds, (SELECT count(*) FROM hp) AS hop1_count, (SELECT count(*) FROM nn) AS nodes, (SELECT count(*) FROM e WHERE src IN (SELECT canonical FROM nn) AND dst IN (SELECT canonical FROM nn)) AS edges, (SELECT count(*) FROM gp) AS pages")
+def graph_neighborhood_summary(s, d):
+    return graph.neighbourhood_summary(graph.Graph.of(_mentions(s, d)), _terms(s))
+
+
+@query(f"""WITH {_C}, cx AS (SELECT chunk_id, source_file, page, text FROM c), {_entities_of('cx', 'chunk_id')}, m AS (SELECT ents.*, source_file, page FROM ents JOIN cx USING (chunk_id)),
+n AS (SELECT canonical, first(type ORDER BY source_file NULLS FIRST, page NULLS FIRST, chunk_id, ord, name) AS type FROM m GROUP BY 1),
+pe AS (SELECT DISTINCT source_file, page, canonical FROM m WHERE source_file IS NOT NULL AND page IS NOT NULL), e AS (SELECT DISTINCT a.canonical AS src, b.canonical AS dst FROM pe a JOIN pe b USING (source_file, page) WHERE a.canonical < b.canonical)
+SELECT type, count(*) AS nodes, (SELECT count(*) FROM n) AS all_nodes, (SELECT count(*) FROM e) AS all_edges FROM n GROUP BY 1""")
+def rebuild_graph(s, d):
+    """Extraction from all chunks, the graph's tables written and read back, and their statistics."""
+    g = graph.rebuild(_chunks(s, d), f"{staged_dir(s)}/graph-{abs(hash(d))}")
+    by = g.nodes.groupBy("type").agg(F.count(F.lit(1)).alias("nodes"))
+    total = g.nodes.agg(F.count(F.lit(1)).alias("all_nodes")).join(F.broadcast(g.edges.agg(F.count(F.lit(1)).alias("all_edges"))))  # single rows
+    return by.join(F.broadcast(total))
+
+
 @query(f"WITH {_NODES}, {_EDGES}, {_GQ}, {_MATCH} SELECT src, dst, weight FROM e WHERE src IN (SELECT canonical FROM mt) AND dst IN (SELECT canonical FROM mt)")
 def induced_subgraph(s, d):
     _, n, e = _graph(s, d)
@@ -626,9 +751,9 @@ def graph_pages_cross(s, d):
     return graph.pages_of(m, graph.matching(n, _terms(s)), cross=True)
 
 
-@query()
+@query(f"WITH {_QT} SELECT query_id, term FROM qt")
 def query_entities(s, d):
-    return graph.query_terms(_questions(s, d).unionByName(_one_question(s)))
+    return graph.query_terms(_questions(s, d))
 
 
 # ---- aggregates and reports
@@ -644,15 +769,20 @@ def ingest_stats(s, d):
     return store.ingest_stats(_chunks(s, d))
 
 
-@query(f"WITH {_C}, {_M} SELECT count(*) AS docs, count(*) FILTER (WHERE status = 'indexed') AS indexed, coalesce(sum(text_chunks) FILTER (WHERE status = 'indexed'), 0)::BIGINT AS text_chunks, coalesce(sum(total_pages) FILTER (WHERE status = 'indexed'), 0)::BIGINT AS pages, (SELECT count(*) FROM c) AS collection, (SELECT count(DISTINCT canonical) FROM m) AS nodes FROM registry")
+@query(f"WITH {_C}, {_NODES}, {_EDGES} SELECT count(*) AS docs, count(*) FILTER (WHERE status = 'indexed') AS indexed, coalesce(sum(text_chunks) FILTER (WHERE status = 'indexed'), 0)::BIGINT AS text_chunks, coalesce(sum(total_pages) FILTER (WHERE status = 'indexed'), 0)::BIGINT AS pages, (SELECT count(*) FROM c) AS collection, (SELECT count(DISTINCT canonical) FROM m) AS nodes, (SELECT count(*) FROM e) AS edges, (SELECT string_agg(type || '=' || k, ',' ORDER BY type) FROM (SELECT type, count(*) AS k FROM n GROUP BY 1)) AS types FROM registry")
 def system_metrics(s, d):
     on = F.col("status") == "indexed"
     r = table(s, d, "registry").agg(
         F.count(F.lit(1)).alias("docs"), F.count_if(on).alias("indexed"),
         F.coalesce(F.sum(F.when(on, F.col("text_chunks"))), F.lit(0)).cast("bigint").alias("text_chunks"), F.coalesce(F.sum(F.when(on, F.col("total_pages"))), F.lit(0)).cast("bigint").alias("pages"),
     )
-    c = _chunks(s, d).agg(F.count(F.lit(1)).alias("collection"))
-    return r.join(F.broadcast(c)).join(F.broadcast(_mentions(s, d).agg(F.count_distinct("canonical").alias("nodes"))))  # single rows
+    g = _library(s, d).graph
+    by = g.nodes.groupBy("type").agg(F.count(F.lit(1)).alias("k"))  # as many rows as types
+    types = by.agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws("=", "type", F.col("k").cast("string")))), ",").alias("types"))
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    for one in (collection_count(s, d).withColumnRenamed("n", "collection"), n(g.nodes, "nodes"), n(g.edges, "edges"), types):
+        r = r.join(F.broadcast(one))  # single rows
+    return r
 
 
 @query(f"WITH {_C} SELECT count(*) FILTER (WHERE type = 'text') AS text_chunks, count(*) FILTER (WHERE type = 'image') AS image_chunks, count(*) FILTER (WHERE length(trim(text)) >= 150) AS direct, count(*) FILTER (WHERE NOT coalesce(length(trim(text)) >= 150, false)) AS ocr FROM c")
@@ -668,7 +798,7 @@ def per_source_stats(s, d):
 
 @query("SELECT id, name, (row_number() OVER (ORDER BY uploaded_at DESC NULLS LAST, id))::INT AS place FROM registry")
 def order_docs(s, d):
-    return table(s, d, "registry").select("id", "name", F.row_number().over(Window.orderBy(F.desc_nulls_last("uploaded_at"), "id")).alias("place"))
+    return numbered(table(s, d, "registry").select("id", "name", "uploaded_at"), [F.desc_nulls_last("uploaded_at"), F.col("id")], "order").select("id", "name", "place")
 
 
 @query(f"WITH {_C} SELECT chunk_id, 'direct' AS via FROM c WHERE coalesce(image_path, '') = '' UNION ALL SELECT chunk_id, 'ocr' FROM c WHERE image_path <> ''")

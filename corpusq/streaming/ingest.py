@@ -12,16 +12,15 @@ PAGES = "document_id string, source_file string, page int, text string, image_pa
 
 
 def index_stream(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Pages (parquet files of ``PAGES``) to chunks in ``target``, partitioned by document.
+    """Pages (parquet files of ``PAGES``) to chunks in ``target``, in buckets by document (``store.read_documents``).
 
     A batch replaces its documents whole, so a batch that is run again after a failure changes nothing.
     """
 
     def write(batch: DataFrame, _: int) -> None:
-        docs = [r[0] for r in batch.select("document_id").distinct().filter("document_id is not null").collect()]
-        if docs:
-            made = chunk.number_chunks(chunk.chunk_pages(batch.filter(F.col("document_id").isNotNull())))
-            store.write_documents(spark, made, target, docs)
+        named = batch.filter(F.col("document_id").isNotNull())
+        if not named.isEmpty():
+            store.write_documents(spark, chunk.number_chunks(chunk.chunk_pages(named)), target, named)
 
     stream = spark.readStream.schema(PAGES).parquet(source)
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
