@@ -58,6 +58,8 @@ def vector_hits(library: Library, q: DataFrame, k: int, filtered: bool = True) -
     if not filtered:
         return vector.cosine_topk(library.vectors, e, k)
     limited = q.filter("document_id is not null or source_file is not null")
+    if limited.isEmpty():
+        return vector.cosine_topk(library.vectors, e, k)
     free = e.join(limited.select("query_id"), "query_id", "left_anti")
     own = _allowed(library, limited).join(library.vectors, "chunk_id").join(e, "query_id").select("query_id", "chunk_id", vector.cosine(F.col("v"), F.col("q")).alias("score"))
     return vector.cosine_topk(library.vectors, free, k).unionByName(lexical.ranked(own.filter("score is not null"), k))
@@ -65,7 +67,8 @@ def vector_hits(library: Library, q: DataFrame, k: int, filtered: bool = True) -
 
 def lexical_hits(library: Library, q: DataFrame, k: int) -> DataFrame:
     limited = q.filter("document_id is not null or source_file is not null")
-    return lexical.search(library.index, q.select("query_id", F.col("asked").alias("text")), k, _allowed(library, limited))
+    where = None if limited.isEmpty() else _allowed(library, limited)
+    return lexical.search(library.index, q.select("query_id", F.col("asked").alias("text")), k, where)
 
 
 def graph_pages(library: Library, q: DataFrame) -> tuple[DataFrame, DataFrame]:

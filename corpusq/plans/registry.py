@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.abbreviations import ABBREVIATIONS
 from ..operators import ask, chunk, detect, graph, lexical, retrieve, store, vector
-from ..runtime import Query, kept, numbered, stage, staged_dir, table
+from ..runtime import Query, forget, kept, numbered, stage, staged_dir, table
 from ..sources import files, providers
 
 QUERIES: dict[str, Query] = {}
@@ -424,17 +424,35 @@ _RRF = """j AS (SELECT query_id, chunk_id, min(r1) AS r1, min(r2) AS r2, round(c
 fused AS (SELECT query_id, chunk_id, round(rrf / max(rrf) OVER (PARTITION BY query_id), 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, coalesce(r1, 1073741824), coalesce(r2, 1073741824), chunk_id) AS rank FROM j)"""
 
 
-def _library(s: SparkSession, d: str) -> ask.Library:
-    """The collection with its vectors, index and graph, made once for an application."""
+class _Collection(ask.Library):
+    """The collection with its vectors, index and graph, each made once for an application, when it is first asked for."""
+
+    def __init__(self, s: SparkSession, d: str):
+        self.s, self.d = s, d
+
+    @property
+    def chunks(self) -> DataFrame:
+        return _chunks(self.s, self.d).filter("text is not null")
+
+    @property
+    def vectors(self) -> DataFrame:
+        return kept(self.s, ("vectors", self.d), lambda: stage(vector.dense(vector.hashed_counts(self.chunks, "chunk_id"), "chunk_id"), "vectors"))
 
-    def made() -> ask.Library:
-        c = _chunks(s, d).filter("text is not null")
-        vectors = stage(vector.dense(vector.hashed_counts(c, "chunk_id"), "chunk_id"), "vectors")
-        m = _mentions(s, d)
-        own = graph.Graph(m, *(stage(x, "graph") for x in (graph.nodes(m), graph.edges(m), graph.locations(m))))
-        return ask.Library(c, vectors, lexical.build(c), own)
+    @property
+    def index(self) -> lexical.LexicalIndex:
+        return kept(self.s, ("index", self.d), lambda: lexical.build(self.chunks))
 
-    return kept(s, ("library", d), made)
+    @property
+    def graph(self) -> graph.Graph:
+        def made() -> graph.Graph:
+            m = _mentions(self.s, self.d)
+            return graph.Graph(m, *(stage(x, "graph") for x in (graph.nodes(m), graph.edges(m), graph.locations(m))))
+
+        return kept(self.s, ("graph", self.d), made)
+
+
+def _library(s: SparkSession, d: str) -> ask.Library:
+    return _Collection(s, d)
 
 
 def _asked(s: SparkSession, d: str) -> DataFrame:
@@ -451,7 +469,8 @@ def _semantic(s: SparkSession, d: str, k: int = TOP_K) -> DataFrame:
 
 @query(f"WITH {_BM25} SELECT term, df, round(idf, 6) AS idf FROM term")
 def bm25_build(s, d):
-    return lexical.build(_chunks(s, d).filter("text is not null")).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    forget(s, ("index", d))  # it is built anew; searches use it from then on
+    return _library(s, d).index.terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {_BM25}, {_LEX} SELECT query_id, chunk_id, score, rank::INT AS rank FROM lex WHERE rank <= 7")

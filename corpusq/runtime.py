@@ -80,6 +80,11 @@ def kept(spark: SparkSession, key: tuple, make: Callable[[], T]) -> T:
     return _KEPT[full]
 
 
+def forget(spark: SparkSession, key: tuple) -> None:
+    """``kept`` makes it anew next time."""
+    _KEPT.pop((spark.sparkContext.applicationId, *key), None)
+
+
 def numbered(df: DataFrame, order: list, name: str, col: str = "place") -> DataFrame:
     """``df`` with the place of each row in a total order, from 1, without a window over all rows: the rows are sorted by
     range, numbered within their partition, and each partition starts after those before it."""
