@@ -29,6 +29,8 @@ _NOT_LETTER = re.compile(r"[\W\d_]+")
 CLASS = 8
 #: A task sends its counts on when it holds so many lines.
 HELD_LINES = 200_000
+#: Rows that a task remembers, to pass over repeats.
+HELD_ROWS = 1_000_000
 BITMAP_BLOCKS = 1 << 20
 #: A letter that stands for a line's end while a text's letters are taken.
 _END = "\U00010380"
@@ -156,21 +158,34 @@ class Node:
 
 
 def _count_lines(batches: Iterator[pa.RecordBatch], least_letters: int) -> Iterator[pa.RecordBatch]:
+    """source, text, row (a hash of chunk and text): lines with the number of texts and one of their rows. A row that this
+    task has had is not counted again."""
     counts: dict[str, Counter] = defaultdict(Counter)
+    last: dict[str, dict[str, int]] = defaultdict(dict)
+    had: set[int] = set()
 
     def flush() -> Iterator[pa.RecordBatch]:
         for source, own in counts.items():
-            lines, n = list(own), list(own.values())
+            lines, n, rows = list(own), list(own.values()), last[source]
             for i in range(0, len(lines), 20_000):
                 part = lines[i : i + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([source] * len(part), pa.string()), pa.array(part, pa.string()), pa.array(n[i : i + 20_000], pa.int64())], names=["source_file", "line", "c"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([source] * len(part), pa.string()), pa.array(part, pa.string()), pa.array(n[i : i + 20_000], pa.int64()), pa.array([rows[x] for x in part], pa.int64())],
+                    names=["source_file", "line", "c", "row"],
+                )
         counts.clear()
+        last.clear()
 
     held = 0
     for batch in batches:
-        for source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for source, text, row in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if row in had:
+                continue
+            if len(had) < HELD_ROWS:
+                had.add(row)
             found = {k for k in text_letters(text) if len(k) >= least_letters}
             counts[source].update(found)
+            last[source].update(dict.fromkeys(found, row))
             held += len(found)
             if held > HELD_LINES:
                 yield from flush()
@@ -261,9 +276,13 @@ def repeated_lines(
     )
     sizes = rows.select("source_file", "chunk_id").distinct().groupBy("source_file").agg(F.count(F.lit(1)).alias("n"))
     sizes = stage(sizes.select("source_file", F.greatest(F.lit(float(min_chunks)), F.lit(min_share) * F.col("n")).alias("need")), "p3-sizes")
-    counted = rows.select("source_file", "text").mapInArrow(lambda it: _count_lines(it, max(1, least_letters)), "source_file string, line string, c bigint")
-    spelled = counted.groupBy("source_file", "line").agg(F.sum("c").alias("c")).filter("c > 1")
-    cores = stage(spelled.join(sizes, "source_file").filter(F.col("c") >= F.lit(core) * F.col("need")), "p3-cores")
+    counted = rows.select("source_file", "text", F.xxhash64("chunk_id", "text")).mapInArrow(
+        lambda it: _count_lines(it, max(1, least_letters)), "source_file string, line string, c bigint, row bigint"
+    )
+    spelled = counted.groupBy("source_file", "line").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("parts"), F.min("row").alias("lo"), F.max("row").alias("hi"))
+    # a line of one row only, which is repeated in several tasks, occurs once
+    spelled = spelled.filter("c > 1 and not (lo = hi and c = parts)")
+    cores = stage(spelled.join(sizes, "source_file").filter(F.col("c") >= F.lit(core) * F.col("need")).select("source_file", "line", "c", "need"), "p3-cores")
     is_long = F.length("line") >= shape.least
     short = cores.filter(~is_long & (F.col("c") >= F.col("need"))).select("source_file", "line", F.col("line").alias("template"))
     nodes = stage(
