@@ -6,8 +6,8 @@ slots. Each task counts the lines of its rows; the counts are merged by key, and
 enough to be the core of a repeated line go into the token tree of their source: length class and place of a
 block, the block's letters, a block of the rest, templates. The tree is a table keyed by node, so the trees of
 all partitions are merged by key, a large source is as many nodes, and nothing of it is collected. In a node,
-by falling count, a core joins the template that it is the same as or becomes one. Lines then meet the
-templates of their nodes, once a spelling, and support is counted over distinct chunks.
+by falling count, a core joins the template that it is the same as or becomes one; a source has few cores, as
+each stands for a share of its chunks. Lines then meet the templates of their nodes, once a spelling, and support is counted over distinct chunks.
 """
 
 from __future__ import annotations
@@ -130,31 +130,27 @@ def signed(h: int) -> int:
 
 
 class Node:
-    """The templates below one node: lines that share a block, found by a block of their rest."""
+    """The cores below one node: lines that share a block, found by a block of their rest."""
 
     def __init__(self, shape: Shape, cls: int):
         self.shape, self.size = shape, shape.rest_block(cls)
         self.below: dict[tuple[int, str], list[int]] = defaultdict(list)
-        self.templates: list[tuple[str, str]] = []
+        self.lines: list[tuple[str, str]] = []
 
-    def find(self, rest: str, n: int) -> str | None:
-        """The most frequent template that a line of n letters with this rest is the same as."""
+    def find(self, rest: str, n: int) -> list[str]:
+        """The lines so far that one of n letters with this rest is the same as."""
         met: set[int] = set()
         for j, s in enumerate(self.shape.starts(len(rest), self.size)):
             met.update(self.below.get((j, rest[s : s + self.size]), ()))
-        for t in sorted(met):
-            line, its = self.templates[t]
-            if within(rest, its, self.shape.allowed(max(n, len(line)))):
-                return line
-        return None
+        return [line for t in sorted(met) for line, its in [self.lines[t]] if within(rest, its, self.shape.allowed(max(n, len(line))))]
 
     def add(self, line: str, rest: str) -> None:
         e = self.shape.edits
         for j, s in enumerate(self.shape.starts(len(rest), self.size)):
             for at in {s + shift for shift in (range(-e, e + 1) if 0 < j < e else (0,))}:
                 if at >= 0:
-                    self.below[j, rest[at : at + self.size]].append(len(self.templates))
-        self.templates.append((line, rest))
+                    self.below[j, rest[at : at + self.size]].append(len(self.lines))
+        self.lines.append((line, rest))
 
 
 def _count_lines(batches: Iterator[pa.RecordBatch], least_letters: int) -> Iterator[pa.RecordBatch]:
@@ -208,30 +204,29 @@ def _node_rows(batches: Iterator[pa.RecordBatch], shape: Shape) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
 
 
-def _absorbed(batches: Iterator[pa.RecordBatch], shape: Shape) -> Iterator[pa.RecordBatch]:
-    """From cores sorted by node and falling count: those that are the same as a more frequent template."""
+def _alike(batches: Iterator[pa.RecordBatch], shape: Shape) -> Iterator[pa.RecordBatch]:
+    """From cores sorted by node and falling count: each with the more frequent ones that it is the same as."""
     at: int | None = None
     here: Node | None = None
     for batch in batches:
         keys = batch.column(0).to_numpy()
         if not len(keys):
             continue
-        # a core alone in its node can't be absorbed there; the batch's outer nodes may go on
+        # a core alone in its node meets none there; the batch's outer nodes may go on
         twice = np.concatenate([[False], keys[1:] == keys[:-1]])
         twice[:-1] |= twice[1:]
         batch = batch.filter(pa.array(twice | (keys == keys[0]) | (keys == keys[-1])))
-        out: tuple[list, list] = ([], [])
+        out: tuple[list, list, list] = ([], [], [])
         for key, source, line, _, cls, s, own in zip(*(batch.column(i).to_pylist() for i in range(7))):
             if at != key:
                 at, here = key, Node(shape, cls)
             rest = line[:s] + line[s + shape.block(cls) :]
-            template = here.find(rest, len(line))
-            if template is None:
-                here.add(line, rest)
-            elif own and template != line:
-                out[0].append(source)
-                out[1].append(line)
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in out], names=["source_file", "line"])
+            for other in here.find(rest, len(line)):
+                if other != line:
+                    for col, v in zip(out, (source, line, other)):
+                        col.append(v)
+            here.add(line, rest)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in out], names=["source_file", "line", "other"])
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch], tree: Bitmap, shape: Shape, least_letters: int) -> Iterator[pa.RecordBatch]:
@@ -266,7 +261,7 @@ def repeated_lines(
     ``outer`` says that it is the first or the last line with letters.
 
     A template is a spelling that two chunks and ``core`` of the chunks asked for have, and that is not the same
-    as a more frequent one. Nulls in source_file, chunk_id or text leave the row out; repeated rows count once;
+    as a more frequent one which is itself like none. Nulls in source_file, chunk_id or text leave the row out; repeated rows count once;
     lines without letters are never matched.
     """
     ship(chunks.sparkSession)
@@ -289,8 +284,14 @@ def repeated_lines(
         cores.filter(is_long).select("source_file", "line", "c").mapInArrow(lambda it: _node_rows(it, shape), "node bigint, source_file string, line string, c bigint, cls int, at int, own boolean"),
         "p3-nodes",
     )
-    absorbed = nodes.repartition("node").sortWithinPartitions("node", F.desc("c"), "line", "at").mapInArrow(lambda it: _absorbed(it, shape), "source_file string, line string")
-    tree = stage(nodes.join(absorbed.distinct(), ["source_file", "line"], "left_anti").select("source_file", "node", F.col("line").alias("template")).distinct(), "p3-tree")
+    alike = stage(
+        nodes.repartition("node").sortWithinPartitions("node", F.desc("c"), "line", "at").mapInArrow(lambda it: _alike(it, shape), "source_file string, line string, other string").distinct(),
+        "p3-alike",
+    )
+    # what is the same as a core that is like no more frequent one is no template of its own
+    like_none = alike.join(alike.select("source_file", F.col("line").alias("other")).distinct(), ["source_file", "other"], "left_anti")
+    absorbed = like_none.select("source_file", "line").distinct()
+    tree = stage(nodes.join(absorbed, ["source_file", "line"], "left_anti").select("source_file", "node", F.col("line").alias("template")).distinct(), "p3-tree")
     hashes = tree.select("node").unionByName(short.select(F.xxhash64(F.concat_ws(" ", "source_file", "line")).alias("node")))
     held = chunks.sparkSession.sparkContext.broadcast(Bitmap.of(hashes, BITMAP_BLOCKS))
     seen = stage(rows.mapInArrow(lambda it: _occurrences(it, held.value, shape, least_letters), "source_file string, chunk_id string, line_no int, line string, outer boolean"), "p3-seen")

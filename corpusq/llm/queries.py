@@ -126,6 +126,19 @@ o AS (SELECT a.chunk_id AS chunk_a, b.chunk_id AS chunk_b, count(*) AS o FROM s
 near AS (SELECT chunk_a, chunk_b, o = x.n AND o = y.n AS same FROM o JOIN n x ON x.chunk_id = chunk_a JOIN n y ON y.chunk_id = chunk_b WHERE o >= 0.7 * (x.n + y.n - o))"""
 
 SQL: dict[str, str] = {
+    # levenshtein counts bytes, so Cyrillic letters become single ones
+    "p3_found": """WITH t AS (SELECT DISTINCT chunk_id, source_file, text FROM chunks WHERE type = 'text' AND chunk_id IS NOT NULL AND source_file IS NOT NULL AND text IS NOT NULL),
+l AS (SELECT source_file, chunk_id, line_no, regexp_replace(lower(x), '[^\\pL]', '', 'g') AS k FROM (SELECT source_file, chunk_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1)::INT AS line_no FROM t)),
+z AS (SELECT source_file, greatest(5.0::DOUBLE, 0.1::DOUBLE * count(DISTINCT chunk_id)) AS need FROM t GROUP BY 1),
+o AS (SELECT DISTINCT source_file, k, chunk_id FROM l WHERE k <> ''), s AS (SELECT source_file, k, length(k) AS n, translate(k, 'абвгдежзийклмнопрстуфхцчшщъыьэюяё', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456') AS e, count(*) AS c FROM o GROUP BY ALL),
+q AS (SELECT s.* FROM s JOIN z USING (source_file) WHERE c > 1 AND c >= 0.125 * need AND n >= 18),
+r AS (SELECT a.source_file, a.k, b.k AS other FROM q a JOIN q b ON a.source_file = b.source_file AND (b.c > a.c OR (b.c = a.c AND b.k < a.k)) AND greatest(a.n, b.n) >= 20 AND abs(a.n - b.n) <= 2 WHERE levenshtein(a.e, b.e) <= 2),
+ab AS (SELECT DISTINCT source_file, k FROM r WHERE (source_file, other) NOT IN (SELECT source_file, k FROM r)),
+tm AS (SELECT * FROM q WHERE (source_file, k) NOT IN (SELECT source_file, k FROM ab)),
+p AS (SELECT tm.source_file, tm.k AS template, s.k FROM tm JOIN s ON s.source_file = tm.source_file AND abs(s.n - tm.n) <= 2 WHERE s.k = tm.k OR (greatest(s.n, tm.n) >= 20 AND s.n >= 18 AND levenshtein(s.e, tm.e) <= 2)
+UNION ALL SELECT source_file, k, k FROM s JOIN z USING (source_file) WHERE n < 18 AND c >= need),
+u AS (SELECT p.source_file, template FROM p JOIN o ON o.source_file = p.source_file AND o.k = p.k JOIN z ON z.source_file = p.source_file GROUP BY p.source_file, template, need HAVING count(DISTINCT chunk_id) >= need)
+SELECT DISTINCT chunk_id, line_no FROM l JOIN p ON p.source_file = l.source_file AND p.k = l.k JOIN u ON u.source_file = p.source_file AND u.template = p.template""",
     "p7_texts": """WITH t AS (SELECT regexp_replace(lower(trim(source)), '[_\\s]+', '-', 'g') AS source, target_share, max_repeats FROM mix_targets),
 o AS (SELECT text, min({'r': max_repeats, 's': t.source}) AS x FROM documents d JOIN t ON t.source = regexp_replace(lower(trim(d.source)), '[_\\s]+', '-', 'g') WHERE doc_id IS NOT NULL AND text <> '' GROUP BY 1),
 n AS (SELECT x.s AS source, count(*) AS n FROM o GROUP BY 1)

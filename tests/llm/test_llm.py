@@ -188,7 +188,7 @@ def test_blocks_meet(edits, length):
         for mine in rests[0]:
             here = lines.Node(shape, cls)
             here.add(key, mine)
-            found += [here.find(r, len(v)) for r in rests[1]]
+            found += [x for r in rests[1] for x in here.find(r, len(v))]
         assert key in found
 
 
@@ -214,6 +214,16 @@ def test_repeated_lines(spark):
     assert lines.repeated_lines(chunks(spark, rows).limit(0)).count() == 0
 
 
+def test_chain_of_spellings(spark):
+    """B is like A, C like B but not like A: lines like C alone are found by C."""
+    a = "абвгдежзиклмнопрстуфхцчш"
+    b, c = a[:4] + "щщ" + a[6:], a[:4] + "щщ" + a[6:10] + "ъъ" + a[12:]
+    d = c[:16] + "ээ" + c[18:]
+    rows = [(f"k{i}", t, 1, "s", "") for i, t in enumerate([a] * 9 + [b] * 5 + [c] * 4 + [d])]
+    got = {r.chunk_id for r in lines.repeated_lines(chunks(spark, rows)).collect()}
+    assert got == {f"k{i}" for i in range(19)}
+
+
 # ---- 4
 
 
