@@ -42,7 +42,7 @@ COMMON_ROWS = 1_000_000
 #: The owners of a box with a longer run are compared in pairs of blocks of about so many, and pruned before a pair leaves.
 LONG_RUN = 2048
 #: Rows of boxes that one task should sort.
-TASK_BOXES = 500_000
+TASK_BOXES = 1_000_000
 #: A pair is looked at if it shares so many boxes (a hash collision may spoil up to three of ``matches``).
 ASKED = 3
 #: Below so many shingles two similar texts may share fewer boxes than ``matches``.
