@@ -36,6 +36,27 @@ PIPELINE_STEPS = {
 SECTIONS = ("ТЕКСТ", "ДИАГРАММЫ", "АББРЕВИАТУРЫ")
 
 
+#: A document's sign by its status, and a node's colour by its type.
+STATUS_ICONS = {"indexed": "✅", "indexing": "⏳", "error": "❌", "pending": "🕐"}
+TYPE_COLORS = {"скважина": "#3b82f6", "пласт": "#22c55e", "горизонт": "#f59e0b", "свита": "#a855f7", "месторождение": "#ef4444", "формация": "#06b6d4"}
+OTHER_ICON, OTHER_COLOR = "📄", "#64748b"
+
+
+def _looked_up(key: Column, values: dict[str, str], other: str) -> Column:
+    out = F.lit(other)
+    for k, v in values.items():
+        out = F.when(key == k, v).otherwise(out)
+    return out
+
+
+def status_icon(status: Column) -> Column:
+    return _looked_up(status, STATUS_ICONS, OTHER_ICON)
+
+
+def type_color(kind: Column) -> Column:
+    return _looked_up(kind, TYPE_COLORS, OTHER_COLOR)
+
+
 def words(text: Column) -> Column:
     """Words between white space."""
     return F.filter(F.split(text, SPACES + "+"), lambda w: w != "")

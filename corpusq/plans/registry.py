@@ -335,6 +335,20 @@ def html_escape(s, d):
     return table(s, d, "documents").select("doc_id", tx.html_escape(F.col("text")).alias("html"))
 
 
+def _case_sql(col: str, values: dict[str, str], other: str) -> str:
+    return f"CASE {col} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in values.items()) + f" ELSE '{other}' END"
+
+
+@query(f"SELECT id, {_case_sql('status', tx.STATUS_ICONS, tx.OTHER_ICON)} AS icon FROM registry")
+def status_icon_case(s, d):
+    return table(s, d, "registry").select("id", tx.status_icon(F.col("status")).alias("icon"))
+
+
+@query(f"SELECT DISTINCT type, {_case_sql('type', tx.TYPE_COLORS, tx.OTHER_COLOR)} AS color FROM entities")
+def type_color(s, d):
+    return table(s, d, "entities").select("type", tx.type_color(F.col("type")).alias("color")).distinct()
+
+
 _MODES = [("rag",), ("hybrid",), ("graphrag",), ("",), ("RAG",), (None,)]
 
 
@@ -677,6 +691,30 @@ def retrieval_eval(s, d):
     return hits.select("query_id", "score", found.alias("found"), F.when(enough & found, "ok").when(enough | found, "partly").otherwise("no").alias("status"))
 
 
+#: Questions of quality, the terms of which one must be in the best hit, and its least score.
+_QUALITY = [
+    (1, "Что такое каустобиолиты?", ["каустобиолиты", "органическое", "углерод"], 0.5),
+    (2, "Классификация нефтяных ловушек", ["ловушка", "антиклиналь", "структур"], 0.5),
+    (3, "Геохимия органического вещества в нефтепроизводящих породах", ["органическое вещество", "ОВ", "геохимия", "нефтепроизводящ"], 0.5),
+    (4, "ВНК водонефтяной контакт", ["контакт", "нефть", "вода", "ВНК"], 0.45),
+    (5, "Методы сейсмической разведки нефти и газа", ["сейсм", "разведка", "волн"], 0.45),
+]
+_QUALITY_SQL = ", ".join(f"({i}, '{q}', [{', '.join(repr(t) for t in ts)}], {m}::DOUBLE)" for i, q, ts, m in _QUALITY)
+
+
+@query(f"""WITH qu AS (SELECT * FROM (VALUES {_QUALITY_SQL}) v(item_id, text, terms, least)), benchmark AS (SELECT item_id::BIGINT AS item_id, text FROM qu), {_BM25}, {_LEX}, {_VEC}, {_RRF}
+SELECT query_id, score, array_to_string(list_sort(list_filter(terms, lambda t: contains(lower(c.text), lower(t)))), '|') AS found_terms, CASE WHEN score < least THEN 'no' WHEN len(list_filter(terms, lambda t: contains(lower(c.text), lower(t)))) > 0 THEN 'ok' ELSE 'partly' END AS status FROM fused JOIN c USING (chunk_id) JOIN qu ON qu.item_id = query_id WHERE rank = 1""")
+def retrieval_quality(s, d):
+    """Fixed questions, each with the terms expected in its best hybrid hit and the score that it needs."""
+    lib = _library(s, d)
+    asked = s.createDataFrame(_QUALITY, "query_id bigint, text string, terms array<string>, least double")
+    best = ask.retrieve_by_mode(lib, asked.select("query_id", "text", F.lit("hybrid").alias("mode")), TOP_K).filter("rank = 1")
+    known = best.select("query_id", "chunk_id", "score").join(lib.chunks.select("chunk_id", F.lower("text").alias("body")), "chunk_id").join(asked, "query_id")
+    found = F.filter("terms", lambda t: F.contains(F.col("body"), F.lower(t)))
+    status = F.when(F.col("score") < F.col("least"), "no").when(F.size(found) > 0, "ok").otherwise("partly")
+    return known.select("query_id", "score", F.array_join(F.array_sort(found), "|").alias("found_terms"), status.alias("status"))
+
+
 # ---- entities and graph
 
 
