@@ -73,8 +73,15 @@ def clear_staged(spark: SparkSession) -> None:
 
 
 def kept(spark: SparkSession, key: tuple, make: Callable[[], T]) -> T:
-    """What ``make`` gives, made once for an application: the collection and its index, as they are after ingestion."""
+    """What ``make`` gives, made once for an application: the collection and its index, as they are after ingestion.
+
+    It is made anew if the application's staged tables were removed meanwhile.
+    """
     full = (spark.sparkContext.applicationId, *key)
+    if full in _KEPT:
+        path = spark._jvm.org.apache.hadoop.fs.Path(staged_dir(spark))
+        if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            clear_staged(spark)
     if full not in _KEPT:
         _KEPT[full] = make()
     return _KEPT[full]

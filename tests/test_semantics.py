@@ -218,6 +218,22 @@ def test_numbered(spark):
     assert {r.place for r in runtime.numbered(df, [F.col("id")], "n").collect()} == set(range(1, 1001))
 
 
+def test_kept_tables_are_made_anew(spark):
+    import shutil
+
+    made = []
+
+    def make():
+        made.append(1)
+        return runtime.stage(spark.range(3), "kept-test")
+
+    assert runtime.kept(spark, ("kept-test",), make).count() == runtime.kept(spark, ("kept-test",), make).count() == 3 and len(made) == 1
+    shutil.rmtree(runtime.staged_dir(spark).removeprefix("file://"))
+    assert runtime.kept(spark, ("kept-test",), make).count() == 3 and len(made) == 2
+    runtime.clear_staged(spark)
+    assert runtime.kept(spark, ("kept-test",), make).count() == 3 and len(made) == 3
+
+
 def test_no_local_folder_on_a_cluster(spark, monkeypatch):
     class Context:
         master = "spark://somewhere:7077"
