@@ -15,12 +15,18 @@ neither losing a pair:
    points, whose bit distance is a lower bound of the segment's differences. A pair lives only if from
    some segment on, round the ring, each chain of l segments stays within l/16 of the budget.
 
+The sizes and codes lie in files of the shared folder (44 bytes a text), where the task that meets two texts in a box
+looks them up: what shares a box by chance grows as the square of the corpus and is neither moved nor written. If the
+shared folder is no mounted one, all such pairs are written and pruned afterwards.
+
 What is left is compared by the exact sets of token triples.
 """
 
 from __future__ import annotations
 
+import os
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import ship, stage
+from ..runtime import local_folder, ship, stage
 from .split import has_words
 
 TOKEN = re.compile("[а-яёa-z0-9]+")
@@ -47,6 +53,11 @@ TASK_BOXES = 1_000_000
 ASKED = 3
 #: Below so many shingles two similar texts may share fewer boxes than ``matches``.
 SMALL = 18
+#: Rows of boxes looked at together, and pairs compared together, in one task.
+RUN_ROWS = 300_000
+PAIRS_AT_ONCE = 200_000
+#: Texts whose codes lie in one file (44 bytes each).
+FILE_TEXTS = 250_000
 #: A list of candidate texts up to this long (16 bytes each) may be broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -182,69 +193,151 @@ def _boxes(batches: Iterator[pa.RecordBatch], common: np.ndarray, counts: np.nda
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owners))], names=["key", "fp"])
 
 
-def _runs(batches: Iterator[pa.RecordBatch], long_run: int) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by key: pairs of owners of one box; owners of boxes with long runs go out unpaired (b null)."""
-    tail_k = tail_f = np.empty(0, np.int64)
+def write_codes(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    """From (part, fp, n, code) sorted by part and fp: a file a part with fps, codes and sizes, one after the other."""
+    at: int | None = None
+    held: list[tuple] = []
+
+    def close() -> pa.RecordBatch:
+        fp = np.concatenate([h[0] for h in held])
+        first = np.concatenate([[True], fp[1:] != fp[:-1]])
+        code, n = (np.concatenate([h[i] for h in held])[first] for i in (1, 2))
+        os.makedirs(folder, exist_ok=True)
+        own = f"{folder}/{uuid.uuid4().hex}.tmp"  # a task that runs twice leaves one whole file
+        with open(own, "wb") as f:
+            f.write(fp[first].tobytes() + code.tobytes() + n.tobytes())
+        os.replace(own, f"{folder}/{at}")
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([len(n)], pa.int64())], names=["part", "rows"])
+
+    for batch in batches:
+        part = batch.column(0).to_numpy()
+        cut = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+        for s, e in zip(cut, cut[1:]):
+            if s == e:
+                continue
+            if part[s] != at:
+                if held:
+                    yield close()
+                at, held = int(part[s]), []
+            own = batch.slice(s, e - s)
+            held.append((own.column(1).to_numpy(), np.frombuffer(b"".join(own.column(3).to_pylist()), np.uint64).reshape(-1, 4), own.column(2).to_numpy()))
+    if held:
+        yield close()
+
+
+class Codes:
+    """Size and ring code by fp, from the mapped files of ``write_codes``; only what a task asks for is read."""
+
+    def __init__(self, folder: str, parts: int):
+        self.folder, self.parts, self.open = folder, parts, {}
+
+    def __call__(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """n and code (four words) of ``fps``, which are sorted."""
+        n, code = np.empty(len(fps), np.int32), np.empty((len(fps), 4), np.uint64)
+        part = ((fps.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)) * np.uint64(self.parts) >> np.uint64(32)
+        cut = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(fps)]
+        for s, e in zip(cut, cut[1:]):
+            p = int(part[s])
+            if p not in self.open:
+                path = f"{self.folder}/{p}"
+                rows = os.path.getsize(path) // 44
+                self.open[p] = [np.memmap(path, t, "r", at * rows, shape) for t, at, shape in ((np.int64, 0, (rows,)), (np.uint64, 8, (rows, 4)), (np.int32, 40, (rows,)))]
+            known, codes, sizes = self.open[p]
+            at = np.searchsorted(known, fps[s:e])
+            n[s:e], code[s:e] = sizes[at], codes[at]
+        return n, code
+
+
+def _alive(na: np.ndarray, nb: np.ndarray, ca: np.ndarray, cb: np.ndarray, t: float) -> np.ndarray:
+    """Which pairs (sizes, codes as four words) pass the size and chain filters."""
+    na, nb = na.astype(float), nb.astype(float)
+    # two texts with hash collisions could differ by more in truth than here, never by less
+    budget = np.floor((1 - t) / (1 + t) * (na + nb) + 1e-9)
+    ok = np.minimum(na, nb) >= t * np.maximum(na, nb) - 1
+    ok &= np.bitwise_count(ca ^ cb).sum(axis=1) <= budget  # the whole ring is the last of the chains
+    left = np.flatnonzero(ok)
+    if len(left):
+        words = lambda c: np.ascontiguousarray(c[left]).view(np.uint16)
+        ok[left] = chain_survives(words(ca), words(cb), budget[left])
+    return ok
+
+
+def _runs(batches: Iterator[pa.RecordBatch], long_run: int, t: float, codes: Codes | None = None) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by key: pairs of owners of one box; owners of boxes with long runs go out unpaired (b null).
+
+    With ``codes`` only pairs that pass the size and chain filters go out. Texts that share a box by chance, as many as
+    the square of the corpus, then stay in the task that meets them.
+    """
     long_key: int | None = None
 
-    def emit(a: list, b: list, key: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(key, pa.int64())], names=["a", "b", "key"])
+    def emit(a: np.ndarray, b: np.ndarray | None, key: np.ndarray | None) -> pa.RecordBatch:
+        column = lambda x: pa.nulls(len(a), pa.int64()) if x is None else pa.array(x, pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), column(b), column(key)], names=["a", "b", "key"])
 
     def pairs(k: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
-        nonlocal long_key
-        cut = np.flatnonzero(k[1:] != k[:-1]) + 1
-        starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(k)]])
-        multi = ends - starts > 1
+        order = np.lexsort((f, k))
+        k, f = k[order], f[order]
+        once = np.concatenate([[True], (k[1:] != k[:-1]) | (f[1:] != f[:-1])])
+        k, f = k[once], f[once]
+        starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        lengths = np.diff(np.append(starts, len(k)))
+        far = lengths > long_run
         if long_key is not None:
-            multi |= k[starts] == long_key
-        oa, ob, oh, ok = [], [], [], []
-        for s, e in zip(starts[multi].tolist(), ends[multi].tolist()):
-            fs = sorted(set(f[s:e].tolist()))
-            key = int(k[s])
-            if len(fs) > long_run or key == long_key:
-                oh += fs
-                ok += [key] * len(fs)
-            else:
-                for i, x in enumerate(fs[:-1]):
-                    oa += [x] * (len(fs) - 1 - i)
-                    ob += fs[i + 1 :]
-            if len(oa) > 500_000:
-                yield emit(oa, ob, [None] * len(oa))
-                oa, ob = [], []
-        if oa:
-            yield emit(oa, ob, [None] * len(oa))
-        if oh:
-            yield emit(oh, [None] * len(oh), ok)
-
+            far |= k[starts] == long_key
+        out = np.repeat(far, lengths)
+        if out.any():
+            yield emit(f[out], None, k[out])
+        near = np.repeat(~far & (lengths > 1), lengths)
+        if not near.any():
+            return
+        f = f[near]
+        multi = lengths[~far & (lengths > 1)]
+        begins = np.cumsum(multi) - multi
+        if codes is not None:
+            own, place = np.unique(f, return_inverse=True)
+            n, code = codes(own)
+        for length in np.unique(multi).tolist():
+            left, right = np.triu_indices(length, 1)
+            runs = begins[multi == length]
+            some = max(1, PAIRS_AT_ONCE // len(left))
+            for at in range(0, len(runs), some):
+                for cut in range(0, len(left), PAIRS_AT_ONCE):
+                    i = (runs[at : at + some, None] + left[None, cut : cut + PAIRS_AT_ONCE]).ravel()
+                    j = (runs[at : at + some, None] + right[None, cut : cut + PAIRS_AT_ONCE]).ravel()
+                    if codes is not None:
+                        pi, pj = place[i], place[j]
+                        ok = _alive(n[pi], n[pj], code[pi], code[pj], t)
+                        i, j = i[ok], j[ok]
+                    if len(i):
+                        yield emit(f[i], f[j], None)
+
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    rows = 0
     for batch in batches:
-        k = np.concatenate([tail_k, batch.column(0).to_numpy()])
-        f = np.concatenate([tail_f, batch.column(1).to_numpy()])
-        if not len(k):
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        rows += batch.num_rows
+        if rows < RUN_ROWS:
             continue
+        k, f = (np.concatenate([h[i] for h in held]) for i in (0, 1))
         first = int(np.searchsorted(k, k[-1]))  # the last run may go on in the next batch
-        if len(k) - first > 4 * long_run:  # it is long anyway: send it on now
-            yield from pairs(k[:first], f[:first]) if first else ()
-            fs = sorted(set(f[first:].tolist()))
+        if first:
+            yield from pairs(k[:first], f[:first])
+        held, rows = [(k[first:], f[first:])], len(k) - first
+        if rows > 4 * long_run:  # it is long anyway: send it on now
+            fs = np.unique(f[first:])
             long_key = int(k[-1])
-            yield emit(fs, [None] * len(fs), [long_key] * len(fs))
-            tail_k, tail_f = k[:0], f[:0]
-        else:
-            if first:
-                yield from pairs(k[:first], f[:first])
-            tail_k, tail_f = k[first:], f[first:]
-    if len(tail_k):
-        yield from pairs(tail_k, tail_f)
+            yield emit(fs, None, np.full(len(fs), long_key))
+            held, rows = [], 0
+    if rows:
+        yield from pairs(*(np.concatenate([h[i] for h in held]) for i in (0, 1)))
 
 
 def _chains(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        na, nb = (batch.column(i).to_numpy().astype(float) for i in (2, 3))
-        codes = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, SEGMENTS) for i in (4, 5)]
-        # two texts with hash collisions could differ by more in truth than here, never by less
-        alive = chain_survives(codes[0], codes[1], np.floor((1 - t) / (1 + t) * (na + nb) + 1e-9))
-        alive &= np.minimum(na, nb) >= t * np.maximum(na, nb) - 1
+        codes = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, 4) for i in (4, 5)]
+        alive = _alive(batch.column(2).to_numpy(), batch.column(3).to_numpy(), *codes, t)
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(alive)), batch.column(1).filter(pa.array(alive))], names=["a", "b"])
 
 
@@ -349,9 +442,16 @@ class NearDuplicates:
         self.members = sig.select("chunk_id", "fp").distinct()
         held = spark.sparkContext.broadcast(self._common(sig))
         boxes = sig.select("fp", "n", "points").mapInArrow(lambda it: _boxes(it, *held.value, t, matches), "key bigint, fp bigint")
+        shingles, rows = sig.agg(F.sum("n"), F.count(F.lit(1))).collect()[0]
         # as many tasks as keep each of one size, however many texts there are
-        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(sig.agg(F.sum("n")).collect()[0][0] or 0) // TASK_BOXES))
-        runs = stage(boxes.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(lambda it: _runs(it, long_run), "a bigint, b bigint, key bigint"), "p4-runs")
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(shingles or 0) // TASK_BOXES))
+        folder, parts = local_folder(spark, "p4-codes"), -(-rows // FILE_TEXTS) or 1
+        if folder:
+            high = F.shiftrightunsigned(F.col("fp").bitwiseXOR(F.lit(-(1 << 63)).cast("bigint")), 32)
+            coded = sig.select(F.shiftright(high * F.lit(parts), 32).cast("int").alias("part"), "fp", "n", "code")
+            coded.repartition(parts, "part").sortWithinPartitions("part", "fp").mapInArrow(lambda it: write_codes(it, folder), "part int, rows bigint").agg(F.sum("rows")).collect()
+        met_in = lambda it: _runs(it, long_run, t, Codes(folder, parts) if folder else None)
+        runs = stage(boxes.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(met_in, "a bigint, b bigint, key bigint"), "p4-runs")
         light = sig.groupBy("fp").agg(F.first("n").alias("n"), F.first("code").alias("code"), F.min(F.struct("chunk_id", "text_hash")).alias("one"))
         long = runs.filter("b is null").select("key", F.col("a").alias("fp")).distinct()
         blocks = long.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / long_run).cast("int").alias("blocks"))

@@ -10,6 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from corpusq import runtime
 from corpusq.llm import langid, leak, lines, mix, neardup, queries, scan_noise, split
 from corpusq.llm.cooccur import co_occurrences, page_items
 from tests.oracle import assert_same, connect
@@ -283,6 +284,23 @@ def test_near_duplicates_of_an_id_with_two_texts(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("mounted", [True, False])
+def test_pairs_by_chance_are_not_written(spark, monkeypatch, mounted):
+    """Texts with a passage in common share boxes but are far apart: hardly a pair of them is written where codes can be looked up."""
+    written = {}
+    monkeypatch.setattr(neardup, "stage", lambda df, name: written.setdefault(name, runtime.stage(df, name)))
+    if not mounted:
+        monkeypatch.setattr(neardup, "local_folder", lambda *_: None)
+    monkeypatch.setattr(neardup, "FILE_TEXTS", 50)
+    rng = random.Random(9)
+    common = [f"общее{i}" for i in range(70)]
+    rows = [(f"c{i:03}", " ".join(common + [f"слово{rng.randrange(10**6)}" for _ in range(30)]), 1, "s", "") for i in range(200)]
+    near = neardup.NearDuplicates(chunks(spark, rows + [("d", rows[0][1] + " ещё", 1, "s", "")]))
+    assert {tuple(r) for r in near.chunk_pairs().collect()} == {("c000", "d")}
+    pairs = written["p4-runs"].filter("b is not null").distinct().count()
+    assert pairs < 400 if mounted else pairs > 4000, pairs
+
+
 def test_near_duplicates_empty(spark):
     assert neardup.NearDuplicates(chunks(spark, AWKWARD).limit(0)).chunk_pairs().count() == 0
 
