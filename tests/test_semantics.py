@@ -327,3 +327,49 @@ def test_files_to_collection(spark, tmp_path):
 def test_keep_matching_or_all(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 2)], "g string, v int")
     assert {tuple(r) for r in retrieve.keep_matching_or_all(df, F.col("v") == 1, "g").collect()} == {("a", 1), ("b", 2)}
+
+
+def exchanged(spark, name, folder):
+    """Bytes that a query exchanges, with the collection made anew, and the bytes of the chunks."""
+    import os
+
+    import __spark_entry__
+
+    runtime.clear_staged(spark)
+    store_ = spark.sparkContext._jsc.sc().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    before = store_.executorSummary("driver").totalShuffleWrite()
+    __spark_entry__.queries()[name](spark, folder).write.format("noop").mode("overwrite").save()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return store_.executorSummary("driver").totalShuffleWrite() - before, os.path.getsize(f"{folder}/chunks.parquet")
+
+
+@pytest.mark.parametrize("name", ["bm25_topk"])
+def test_questions_exchange_little(spark, name):
+    """Neither postings, texts nor scores of all chunks are exchanged."""
+    moved, size = exchanged(spark, name, "/root/testdata/sf0.01")
+    assert moved < 2 * size, (moved, size)
+
+
+@pytest.mark.parametrize("limit", [10**6, 1])
+def test_blocks_of_the_index(spark, monkeypatch, limit):
+    """Whatever the size of blocks, and whether questions' terms are sent or joined; a null text counts as a chunk, a null id is no hit."""
+    texts = [(f"c{i:02}", f"нефть {'газ ' * (i % 4)} слово{i % 5}") for i in range(40)] + [("e", ""), ("n", None)]
+    c = spark.createDataFrame(texts, "chunk_id string, text string").repartition(2)
+    q = spark.createDataFrame([(1, "газ газ слово3"), (2, "слово1 нет"), (3, "нет"), (4, "газ")], "query_id bigint, text string")
+    where = spark.createDataFrame([(4, f"c{i:02}") for i in (0, 1, 5, 38)], "query_id bigint, chunk_id string")
+    whole = {tuple(r) for r in lexical.search(lexical.build(c), q, 5, where).collect()}
+    assert {r[0] for r in whole} == {1, 2, 4} and {r[1] for r in whole if r[0] == 4} == {"c01", "c05", "c38"}
+    monkeypatch.setattr(lexical, "QUESTION_TERMS", limit)
+    index = lexical.build(c, block_chunks=3)
+    assert index.corpus.collect()[0].n == 42 and index.blocks.filter("term is null").count() >= 14
+    assert {tuple(r) for r in lexical.search(index, q, 5, where).collect()} == whole
+    null = lexical.build(spark.createDataFrame([(None, "газ"), ("a", "газ"), ("b", "нефть"), ("d", "вода"), ("f", "песок")], "chunk_id string, text string"))
+    assert [r.chunk_id for r in lexical.search(null, q.filter("query_id = 4"), 5).collect()] == ["a"]
+
+
+def test_once_keeps_each_row_once(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (2, None), (2, None), (3, "b")], "id int, text string")
+    for limit in (10, 1):
+        monkeypatch.setattr(runtime, "REPEATED_ROWS", limit)
+        assert sorted(map(tuple, runtime.once(df, "test-once").collect()), key=str) == [(1, "a"), (2, None), (3, "b")]
